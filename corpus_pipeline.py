@@ -1,10 +1,64 @@
-"""The corpus pipeline; its stages follow below once all of its operators stand."""
+"""A training corpus from raw documents, in five stages.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet
+and read again as the next one's docs. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tempora.llm import decontaminate, language, lines, packing
+from tempora.llm.common import table, written
+from tempora.llm.jaccard import linked_documents
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any letter, which are in no language, go."""
+    model = language.profiles(language.training_rows(docs))
+    return language.predict(docs, model, docs.columns).where(F.col("lang_pred") != "und").select(*docs.columns)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of lines that are near copies of each other the first stays; all documents stay."""
+    return lines.without_repeats(spark, docs)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one with the least doc_id stays.
+
+    Rows that repeat its doc_id and its text go as well.
+    """
+    first = linked_documents(spark, docs).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    once = docs.join(first, "doc_id", "left_semi").groupBy("doc_id", F.sha2("text", 256).alias("__text"))
+    others = [c for c in docs.columns if c != "doc_id"]
+    return once.agg(F.first(F.struct(*others)).alias("__row")).select("doc_id", "__row.*").select(*docs.columns)
+
+
+def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with windows of two or more benchmark items go; of one item, the words that were hit."""
+    return decontaminate.decontaminated(spark, docs, table(spark, sf_dir, "benchmark"))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, packing.vocabulary_path())
+
+
+STAGES = [
+    ("language ID", identify_language),
+    ("line dedup", drop_repeated_lines),
+    ("n-gram Jaccard join", drop_near_duplicates),
+    ("benchmark decontamination", decontaminate_benchmark),
+    ("packing", pack_sequences),
+]
+
+#: Profiles and vocabularies can't be expressed in SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(spark, stage(spark, docs, sf_dir), name.replace(" ", "_"))
+    return STAGES[-1][1](spark, docs, sf_dir)

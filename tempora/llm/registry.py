@@ -5,6 +5,7 @@ from __future__ import annotations
 from tempora.llm.decontaminate import OP5_SQL, op5_benchmark_decontamination
 from tempora.llm.jaccard import op3_ngram_jaccard_join
 from tempora.llm.language import op6_language_id
+from tempora.llm.lines import OP10_SQL, op10_line_dedup
 from tempora.llm.media import op4_media_columns
 from tempora.llm.packing import op9_packing
 from tempora.llm.paragraphs import op7_substring_dedup
@@ -24,9 +25,11 @@ QUERIES = {
         op7_substring_dedup,
         op8_quality_classifier,
         op9_packing,
+        op10_line_dedup,
     )
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_secret_scans": OP2_SQL,
     "op5_benchmark_decontamination": OP5_SQL,
+    "op10_line_dedup": OP10_SQL,
 }
