@@ -100,15 +100,19 @@ def mean(v: Column) -> Column:
     return _total(v) / F.size(v)
 
 
+def _with_mean(v: Column, f) -> Column:
+    """f(values, mean), the mean computed once: what a lambda refers to from outside is computed for each of its elements."""
+    return F.get(F.transform(F.array(F.struct(v.alias("v"), mean(v).alias("m"))), lambda z: f(z["v"], z["m"])), F.lit(0))
+
+
 def deviation(v: Column) -> Column:
-    m = mean(v)
-    return F.sqrt(_total(F.transform(v, lambda x: (x - m) * (x - m))) / F.size(v))
+    return _with_mean(v, lambda x, m: F.sqrt(_total(F.transform(x, lambda y: (y - m) * (y - m))) / F.size(x)))
 
 
 def normalised(v: Column) -> Column:
     """Mean 0 and population deviation 1; a constant series becomes zeros."""
-    m, s = mean(v), deviation(v)
-    return F.when(s > 0, F.transform(v, lambda x: (x - m) / s)).otherwise(F.transform(v, lambda x: F.lit(0.0)))
+    held = F.array(F.struct(v.alias("v"), mean(v).alias("m"), deviation(v).alias("s")))
+    return F.get(F.transform(held, lambda z: F.transform(z["v"], lambda x: F.when(z["s"] > 0, (x - z["m"]) / z["s"]).otherwise(0.0))), F.lit(0))
 
 
 def log_domain(v: Column) -> Column:

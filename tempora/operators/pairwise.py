@@ -171,8 +171,7 @@ def column_pairs(series: DataFrame, expression: Callable[[Column, Column], Colum
     n = series.count()
     k = max(1, -(-n // BLOCK))
     a = series.select(F.col("series_id").alias("i"), F.col("values").alias("a"), F.pmod(F.xxhash64("series_id"), F.lit(k)).alias("own"))
-    met = F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
-    left = a.withColumn("met", met.cast("long")).select("i", "a", F.least("own", "met").alias("r"), F.greatest("own", "met").alias("c"))
+    left = a.withColumn("met", F.explode(F.sequence(F.lit(0), F.lit(k - 1)).cast("array<long>"))).select("i", "a", F.least("own", "met").alias("r"), F.greatest("own", "met").alias("c"))
     right = left.select(F.col("i").alias("j"), F.col("a").alias("b"), "r", "c")
     pairs = left.join(right, ["r", "c"]).where(F.col("i") < F.col("j"))
     # two series of one block meet in all of that block's groups: their own group counts

@@ -2,5 +2,273 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tempora.functions import columns
+from tempora.operators import pairwise
+from tempora.plans import oracle, tables
+from tempora.settings import DistanceSettings
+from tempora.sources import series
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def rounded(df: DataFrame, name: str = "distance") -> DataFrame:
+    return df.withColumn(name, F.round(name, 6))
+
+
+def values_out(df: DataFrame) -> DataFrame:
+    """series_id, pos, value: a row for each point."""
+    return df.select("series_id", F.posexplode("values").alias("pos", "value")).select("series_id", F.col("pos").cast("long").alias("pos"), F.round("value", 6).alias("value"))
+
+
+_OUT = "SELECT id AS series_id, unnest(range(len(w))) AS pos, round(unnest(w), 6) AS value FROM ({})"
+
+
+def out(name: str, value: str) -> str:
+    return f"WITH {oracle.series(name)} " + _OUT.format(f"SELECT id, {value} AS w FROM s")
+
+
+# ---- series
+
+
+@query(out("raw", "v"))
+def series_build(spark, sf_dir):
+    return values_out(tables.raw(spark, sf_dir))
+
+
+@query(out("suppliers", "v"))
+def series_calendar(spark, sf_dir):
+    return values_out(tables.suppliers(spark, sf_dir))
+
+
+@query(f"WITH {oracle.series('raw')} SELECT round(min(list_min(v)), 6) AS min_value, round(max(list_max(v)), 6) AS max_value, max(len(v))::BIGINT AS max_length, round(avg(len(v)), 6) AS avg_length, count(*) AS n_series FROM s")
+def series_statistics(spark, sf_dir):
+    s = series.statistics(tables.raw(spark, sf_dir))
+    return s.select(F.round("min_value", 6).alias("min_value"), F.round("max_value", 6).alias("max_value"), F.col("max_length").cast("long").alias("max_length"), F.round("avg_length", 6).alias("avg_length"), "n_series")
+
+
+@query(f"WITH {oracle.series('raw')} SELECT series_id, b AS \"begin\", w_pos AS pos, round(x, 6) AS value FROM (SELECT series_id, b, unnest(range(12)) AS w_pos, unnest(v[b + 1 : b + 12]) AS x FROM (SELECT id AS series_id, v, unnest(range(0, len(v) - 12 + 1, 6)) AS b FROM s))")
+def sliding_windows(spark, sf_dir):
+    w = tables.raw(spark, sf_dir).select("series_id", F.explode(columns.windows(F.col("values"), 12, 6)).alias("w"))
+    w = w.select("series_id", F.col("w.begin").cast("long").alias("begin"), F.posexplode("w.values").alias("pos", "value"))
+    return w.select("series_id", "begin", F.col("pos").cast("long").alias("pos"), F.round("value", 6).alias("value"))
+
+
+# ---- point transforms
+
+
+def _transform(f):
+    return lambda spark, sf_dir, name: values_out(getattr(tables, name)(spark, sf_dir).withColumn("values", f(F.col("values"))))
+
+
+@query(out("raw", "list_transform(range(1, len(v)), lambda i: v[i + 1] - v[i])"))
+def differencing(spark, sf_dir):
+    return _transform(columns.differences)(spark, sf_dir, "raw")
+
+
+_D = "((v[i] - v[i - 1]) + (v[i + 1] - v[i - 1]) / 2) / 2"
+
+
+@query(out("raw", f"list_transform(range(1, len(v) + 1), lambda k: list_transform([least(greatest(k, 2), len(v) - 1)], lambda i: {_D})[1])"))
+def derivative(spark, sf_dir):
+    return _transform(columns.derivative)(spark, sf_dir, "raw")
+
+
+@query(out("raw", "list_transform(v, lambda x: CASE WHEN list_stddev_pop(v) > 0 THEN (x - list_avg(v)) / list_stddev_pop(v) ELSE 0 END)"))
+def z_normalise(spark, sf_dir):
+    return _transform(columns.normalised)(spark, sf_dir, "raw")
+
+
+@query(out("raw", "list_transform(v, lambda x: sign(x) * ln(1 + abs(x)))"))
+def log_domain(spark, sf_dir):
+    return _transform(columns.log_domain)(spark, sf_dir, "raw")
+
+
+@query(out("raw", "list_transform(v, lambda x: CASE WHEN x > 50 THEN 50 + ln(x - 50 + 1) WHEN x < 10 THEN 10 - ln(10 - x + 1) ELSE x END)"))
+def mixed_linear_log(spark, sf_dir):
+    return _transform(lambda v: columns.mixed_log(v, 50.0, 10.0))(spark, sf_dir, "raw")
+
+
+# ---- all pairs
+
+
+@query(oracle.all_pairs("daily", "sqrt(list_sum(list_transform(range(1, len(a) + 1), lambda k: (a[k] - b[k]) ** 2)))"))
+def ed_pairs(spark, sf_dir):
+    return rounded(pairwise.column_pairs(tables.daily(spark, sf_dir), columns.euclidean))
+
+
+@query(oracle.all_pairs("ragged", "sqrt(list_sum(list_transform(range(1, greatest(len(a), len(b)) + 1), lambda k: (a[least(k, len(a))] - b[least(k, len(b))]) ** 2)))"))
+def ed_ragged(spark, sf_dir):
+    return rounded(pairwise.euclidean_distances(tables.ragged(spark, sf_dir)))
+
+
+def _dtw(name: str, settings: DistanceSettings = DistanceSettings()):
+    return lambda spark, sf_dir: rounded(pairwise.distances(getattr(tables, name)(spark, sf_dir), settings))
+
+
+@query(oracle.all_pairs("daily", f"sqrt(list_last({oracle.last_row()}))"))
+def dtw_pairs(spark, sf_dir):
+    return _dtw("daily")(spark, sf_dir)
+
+
+@query(oracle.all_pairs("slots", f"sqrt(list_last({oracle.last_row(window=4)}))"))
+def dtw_window(spark, sf_dir):
+    return _dtw("slots", DistanceSettings(window=4))(spark, sf_dir)
+
+
+@query(oracle.all_pairs("slots", f"sqrt(list_last({oracle.last_row(penalty=900.0)}))"))
+def dtw_penalty(spark, sf_dir):
+    return _dtw("slots", DistanceSettings(penalty=30.0))(spark, sf_dir)
+
+
+_STEP = f"list_last({oracle.last_row(max_step=90000.0)})"
+
+
+@query(oracle.all_pairs("slots", f"CASE WHEN isinf({_STEP}) THEN NULL ELSE sqrt({_STEP}) END"))
+def dtw_max_step(spark, sf_dir):
+    d = _dtw("slots", DistanceSettings(max_step=300.0))(spark, sf_dir)
+    return d.withColumn("distance", F.when(F.col("distance") != float("inf"), F.col("distance")))
+
+
+@query(f"SELECT * FROM ({oracle.all_pairs('slots', f'sqrt(list_last({oracle.last_row()}))')}) WHERE distance <= 600")
+def dtw_max_dist(spark, sf_dir):
+    d = _dtw("slots", DistanceSettings(max_dist=600.0, use_pruning=True))(spark, sf_dir)
+    return d.where(F.col("distance") != float("inf"))
+
+
+@query(oracle.all_pairs("slots", f"list_last({oracle.last_row(cost='abs(x - y)')})"))
+def dtw_absolute_cost(spark, sf_dir):
+    return _dtw("slots", DistanceSettings(inner="euclidean"))(spark, sf_dir)
+
+
+@query(oracle.all_pairs("ragged", f"sqrt(list_last({oracle.last_row()}))", where=" WHERE abs(len(a) - len(b)) <= 2"))
+def dtw_ragged(spark, sf_dir):
+    d = _dtw("ragged", DistanceSettings(max_length_diff=2))(spark, sf_dir)
+    return d.where(F.col("distance") != float("inf"))
+
+
+@query(oracle.all_pairs("slots", f"sqrt(list_min(list_slice({oracle.last_row(skip=2)}, -3, -1)))"))
+def dtw_psi(spark, sf_dir):
+    return _dtw("slots", DistanceSettings(psi=(0, 0, 2, 2)))(spark, sf_dir)
+
+
+@query(oracle.all_pairs("vectors", "sqrt(list_last(" + oracle.nested_last_row("((cur[1] - b[q[1]::INT][1]) ** 2 + (cur[2] - b[q[1]::INT][2]) ** 2)") + "))"))
+def dtw_dependent(spark, sf_dir):
+    return _dtw("vectors")(spark, sf_dir)
+
+
+def _dim(k: int) -> str:
+    return oracle.last_row(a=f"list_transform(a, lambda z: z[{k}])", b=f"list_transform(b, lambda z: z[{k}])")
+
+
+@query(oracle.all_pairs("vectors", f"sqrt(list_last({_dim(1)})) + sqrt(list_last({_dim(2)}))"))
+def dtw_independent(spark, sf_dir):
+    return rounded(pairwise.independent_distances(tables.vectors(spark, sf_dir)))
+
+
+@query(oracle.all_pairs("slots", f"sqrt(list_last({oracle.last_row()}))", condition="x.id < y.id AND x.id >= 10 AND x.id < 40 AND y.id >= 30 AND y.id < 60"))
+def dtw_block(spark, sf_dir):
+    return rounded(pairwise.distances(tables.slots(spark, sf_dir), block=((10, 40), (30, 60))))
+
+
+@query(oracle.all_pairs("slots", f"sqrt(list_last({oracle.last_row()}))"))
+def dtw_expression(spark, sf_dir):
+    """The same measure as nested folds inside the JVM."""
+    return rounded(pairwise.column_pairs(tables.slots(spark, sf_dir), columns.warping_distance))
+
+
+_ENVELOPE = """sqrt(list_sum(list_transform(range(1, len(a) + 1), lambda k: greatest(0, a[k] - list_max(b[greatest(1, k - 3) : least(len(b), k + 3)]), list_min(b[greatest(1, k - 3) : least(len(b), k + 3)]) - a[k]) ** 2)))"""
+
+
+@query(oracle.all_pairs("slots", _ENVELOPE, "bound"))
+def lb_keogh_pairs(spark, sf_dir):
+    return rounded(pairwise.envelope_bounds(tables.slots(spark, sf_dir), 4), "bound")
+
+
+_MSM = """list_last(list_reduce(list_transform(range(2, len(a) + 1), lambda i: [i::DOUBLE]), lambda prev, cur: list_reduce(list_transform(range(2, len(b) + 1), lambda k: [k::DOUBLE]),
+lambda row, q: list_append(row, least(prev[q[1]::INT - 1] + abs(a[cur[1]::INT] - b[q[1]::INT]), prev[q[1]::INT] + {up}, list_last(row) + {left})), [prev[1] + {edge}]),
+list_reduce(list_transform(range(2, len(b) + 1), lambda k: [k::DOUBLE]), lambda row, q: list_append(row, list_last(row) + {top}), [abs(a[1] - b[1])::DOUBLE])))"""
+
+
+def _change(v: str, p: str, q: str) -> str:
+    return f"(0.1 + CASE WHEN {v} BETWEEN least({p}, {q}) AND greatest({p}, {q}) THEN 0 ELSE least(abs({v} - {p}), abs({v} - {q})) END)"
+
+
+_I, _J = "cur[1]::INT", "q[1]::INT"
+
+
+@query(
+    oracle.all_pairs(
+        "slots",
+        _MSM.format(up=_change(f"a[{_I}]", f"a[{_I} - 1]", f"b[{_J}]"), left=_change(f"b[{_J}]", f"a[{_I}]", f"b[{_J} - 1]"), edge=_change(f"a[{_I}]", f"a[{_I} - 1]", "b[1]"), top=_change(f"b[{_J}]", f"b[{_J} - 1]", "a[1]")),
+    )
+)
+def msm_pairs(spark, sf_dir):
+    return rounded(pairwise.split_merge_distances(tables.slots(spark, sf_dir), 0.1))
+
+
+_NW = """-list_last(list_reduce(list_transform(range(1, len(a) + 1), lambda i: [i::DOUBLE]), lambda prev, cur: list_reduce(list_transform(range(1, len(b) + 1), lambda k: [k::DOUBLE]),
+lambda row, q: list_append(row, least(prev[q[1]::INT] + CASE WHEN a[cur[1]::INT] = b[q[1]::INT] THEN -1 ELSE 1 END, prev[q[1]::INT + 1] + 1, list_last(row) + 1)), [cur[1]]), list_transform(range(len(b) + 1), lambda k: k::DOUBLE)))"""
+
+
+@query(oracle.all_pairs("names", _NW, "score"))
+def alignment_pairs(spark, sf_dir):
+    return rounded(pairwise.alignment_scores(tables.names(spark, sf_dir)), "score")
+
+
+@query(oracle.all_pairs("slots", f"sqrt(list_last({oracle.last_row()}))").replace("SELECT i, j,", "SELECT i, j, (i * 120 - i * (i + 1) // 2 + (j - i - 1))::BIGINT AS place,"))
+def condensed_matrix(spark, sf_dir):
+    d = _dtw("slots")(spark, sf_dir)
+    return d.select("i", "j", columns.condensed_index(F.col("i"), F.col("j"), 120).alias("place"), "distance")
+
+
+# ---- similarities
+
+_DIST = oracle.all_pairs("slots", f"sqrt(list_last({oracle.last_row()}))")
+
+
+def _similar(method: str):
+    def f(spark, sf_dir):
+        d = pairwise.distances(tables.slots(spark, sf_dir))
+        r = columns.default_range(method, F.min("distance"), F.max("distance"))
+        bound = d.agg(r.alias("r"))
+        return rounded(d.join(F.broadcast(bound)).select("i", "j", columns.similarity(F.col("distance"), method, F.col("r")).alias("similarity")), "similarity")
+
+    return f
+
+
+_EXACT = _DIST.replace("round(", "(").replace(", 6) AS distance", ") AS distance")
+for _name, _formula in {"exponential": "exp(-distance / (max(distance) OVER ()))", "gaussian": "exp(-(distance ** 2) / (max(distance) OVER ()) ** 2)", "reciprocal": "1 / (1 + distance)", "reverse": "(min(distance) OVER () + max(distance) OVER () - distance) / (min(distance) OVER () + max(distance) OVER ())"}.items():
+    QUERIES[f"similarity_{_name}"] = _similar(_name)
+    ORACLE_SQL[f"similarity_{_name}"] = f"SELECT i, j, round({_formula}, 6) AS similarity FROM ({_EXACT})"
+
+
+def _squashed(method: str):
+    def f(spark, sf_dir):
+        d = pairwise.distances(tables.slots(spark, sf_dir))
+        middle = F.broadcast(d.agg(F.avg("distance").alias("x0")))
+        x0 = F.col("x0") if method == "logistic" else F.lit(0.0)
+        r = F.col("x0") / 6 if method == "logistic" else F.col("x0")
+        return rounded(d.join(middle).select("i", "j", columns.squash(F.col("distance"), method, r, x0).alias("squashed")), "squashed")
+
+    return f
+
+
+for _name, _formula in {"logistic": "1 / (1 + exp(-(distance - m) / (m / 6)))", "gaussian": "1 - exp(-(distance ** 2) / m ** 2)", "exponential": "1 - exp(-distance / m)"}.items():
+    QUERIES[f"squash_{_name}"] = _squashed(_name)
+    ORACLE_SQL[f"squash_{_name}"] = f"SELECT i, j, round({_formula}, 6) AS squashed FROM (SELECT *, avg(distance) OVER () AS m FROM ({_EXACT}))"
