@@ -91,9 +91,10 @@ def differences(v: Column) -> Column:
 
 
 def derivative(v: Column) -> Column:
-    """Mean of the step before and half of the step over both neighbours; the ends take their neighbour's."""
+    """Mean of the step before and half of the step over both neighbours; at the ends the step to the neighbour."""
+    steps = differences(v)
     inner = F.transform(F.slice(v, 2, F.greatest(F.size(v) - 2, F.lit(0))), lambda x, i: ((x - F.get(v, i)) + (F.get(v, i + 2) - F.get(v, i)) / 2) / 2)
-    return F.when(F.size(v) < 3, F.transform(v, lambda x: F.lit(0.0))).otherwise(F.concat(F.slice(inner, 1, 1), inner, F.slice(inner, -1, 1)))
+    return F.when(F.size(v) < 2, F.transform(v, lambda x: F.lit(0.0))).otherwise(F.concat(F.slice(steps, 1, 1), inner, F.slice(steps, -1, 1)))
 
 
 def mean(v: Column) -> Column:

@@ -81,10 +81,10 @@ def differencing(spark, sf_dir):
     return _transform(columns.differences)(spark, sf_dir, "raw")
 
 
-_D = "((v[i] - v[i - 1]) + (v[i + 1] - v[i - 1]) / 2) / 2"
+_D = "CASE WHEN i = 1 THEN v[2] - v[1] WHEN i = len(v) THEN v[i] - v[i - 1] ELSE ((v[i] - v[i - 1]) + (v[i + 1] - v[i - 1]) / 2) / 2 END"
 
 
-@query(out("raw", f"list_transform(range(1, len(v) + 1), lambda k: list_transform([least(greatest(k, 2), len(v) - 1)], lambda i: {_D})[1])"))
+@query(out("raw", f"list_transform(range(1, len(v) + 1), lambda i: {_D})"))
 def derivative(spark, sf_dir):
     return _transform(columns.derivative)(spark, sf_dir, "raw")
 
