@@ -272,3 +272,176 @@ def _squashed(method: str):
 for _name, _formula in {"logistic": "1 / (1 + exp(-(distance - m) / (m / 6)))", "gaussian": "1 - exp(-(distance ** 2) / m ** 2)", "exponential": "1 - exp(-distance / m)"}.items():
     QUERIES[f"squash_{_name}"] = _squashed(_name)
     ORACLE_SQL[f"squash_{_name}"] = f"SELECT i, j, round({_formula}, 6) AS squashed FROM (SELECT *, avg(distance) OVER () AS m FROM ({_EXACT}))"
+
+
+# ---- search
+
+import numpy as np  # noqa: E402
+
+from tempora.operators import average, cluster, search, symbolize  # noqa: E402
+
+#: A motif that is looked for in the hourly series.
+MOTIF = (0.0, 50.0, 100.0, 50.0, 0.0)
+
+
+def type_means(spark, sf_dir) -> list[tuple[int, list[float]]]:
+    """Mean daily series of each event type: 5 rows, whatever the scale."""
+    points = tables.slots(spark, sf_dir).select(F.floor(F.col("series_id") / 24).alias("type"), F.posexplode("values").alias("p", "x"))
+    means = points.groupBy("type", "p").agg(F.avg("x").alias("x")).groupBy("type").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "x"))), lambda s: s["x"]).alias("v"))
+    return sorted((int(t), list(v)) for t, v in means.collect())
+
+
+_MEANS = "m AS (SELECT t AS id, list(x ORDER BY p) AS v FROM (SELECT id // 24 AS t, p, avg(x) AS x FROM (SELECT id, unnest(v) AS x, generate_subscripts(v, 1) AS p FROM s) GROUP BY ALL) GROUP BY t)"
+_NEAR = f"WITH {oracle.series('slots')}, {_MEANS}, p AS (SELECT m.id AS query_id, s.id AS series_id, m.v AS a, s.v AS b FROM m, s), d AS (SELECT query_id, series_id, sqrt(list_last({oracle.last_row(window=4)})) AS distance FROM p)"
+_KNN = f"{_NEAR} SELECT query_id::BIGINT AS query_id, rank::BIGINT AS rank, series_id::BIGINT AS series_id, round(distance, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, series_id) AS rank FROM d) WHERE rank <= 5"
+
+
+def _nearest(use_bound: bool):
+    def f(spark, sf_dir):
+        found = search.nearest(type_means(spark, sf_dir), tables.slots(spark, sf_dir), 5, DistanceSettings(window=4), use_bound)
+        return rounded(found).select("query_id", F.col("rank").cast("long").alias("rank"), "series_id", "distance")
+
+    return f
+
+
+for _name, _bound in (("knn_topk", False), ("knn_lb_pruned", True)):
+    QUERIES[_name], ORACLE_SQL[_name] = _nearest(_bound), _KNN
+
+
+_SA_ROW = oracle.last_row(a=f"{list(MOTIF)}::DOUBLE[]", b="v", penalty=0.01, skip="len(v)")
+
+
+@query(f"WITH {oracle.series('hourly')}, r AS (SELECT id, {_SA_ROW} AS row FROM s) SELECT 0::BIGINT AS query_id, id AS series_id, unnest(range(len(row) - 1)) AS idx, round(unnest(list_transform(row[2:], lambda x: sqrt(x) / {len(MOTIF)})), 6) AS value FROM r")
+def subsequence_matching_function(spark, sf_dir):
+    return rounded(search.matching_function(0, MOTIF, tables.hourly(spark, sf_dir)), "value")
+
+
+@query()
+def subsequence_matches(spark, sf_dir):
+    return search.matches(0, MOTIF, tables.hourly(spark, sf_dir), k=5)
+
+
+@query()
+def subsequence_matches_knee(spark, sf_dir):
+    return search.matches(0, MOTIF, tables.hourly(spark, sf_dir), k=50, knee_alpha=0.3, max_range_factor=3.0)
+
+
+@query()
+def local_concurrences(spark, sf_dir):
+    return search.concurrences(tables.raw(spark, sf_dir), k=3, factor=0.25)
+
+
+def _high(s: DataFrame) -> DataFrame:
+    """Runs of three hours that begin with a high value, as segments."""
+    return s.select("series_id", F.posexplode("values").alias("begin", "x")).where("x > 150").select("series_id", "begin", F.least(F.col("begin") + 2, F.lit(719)).alias("end"))
+
+
+_SEG = f"WITH {oracle.series('hourly')}, g AS (SELECT id, b - 1 AS b, least(b + 1, 719) AS e FROM (SELECT id, unnest(v) AS x, generate_subscripts(v, 1) AS b FROM s) WHERE x > 150), c AS (SELECT DISTINCT id, unnest(range(b, e + 1)) AS p FROM g)"
+
+
+@query(f"{_SEG} SELECT s.id AS series_id, count(c.p) AS covered, round(count(c.p) / len(any_value(s.v)), 6) AS coverage FROM s LEFT JOIN c ON s.id = c.id GROUP BY s.id")
+def segments_coverage(spark, sf_dir):
+    s = tables.hourly(spark, sf_dir)
+    return rounded(search.coverage(_high(s), s), "coverage")
+
+
+@query(f"{_SEG}, f AS (SELECT id, p, p - row_number() OVER (PARTITION BY id ORDER BY p) AS k FROM (SELECT id, unnest(range(len(v))) AS p FROM s) WHERE (id, p) NOT IN (SELECT id, p FROM c)) SELECT id AS series_id, min(p) AS \"begin\", max(p) AS \"end\" FROM f GROUP BY id, k")
+def missing_segments(spark, sf_dir):
+    s = tables.hourly(spark, sf_dir)
+    return search.missing_segments(_high(s), s).select("series_id", F.col("begin").cast("long").alias("begin"), F.col("end").cast("long").alias("end"))
+
+
+# ---- averages and clusters
+
+
+@query(f"WITH d AS ({_DIST}) SELECT id AS series_id, round(sum(distance), 4) AS total FROM (SELECT i AS id, distance FROM d UNION ALL SELECT j, distance FROM d) GROUP BY id ORDER BY sum(distance), id LIMIT 1")
+def medoid(spark, sf_dir):
+    found = average.medoid(rounded(pairwise.distances(tables.slots(spark, sf_dir))))
+    return found.withColumn("total", F.round("total", 4))
+
+
+@query(f"{_NEAR} SELECT series_id, arg_min(query_id, distance)::BIGINT AS cluster, round(min(distance), 6) AS distance FROM d GROUP BY series_id")
+def assign_to_prototypes(spark, sf_dir):
+    centers = {k: np.array(v) for k, v in type_means(spark, sf_dir)}
+    return rounded(cluster.assign(tables.slots(spark, sf_dir), centers, DistanceSettings(window=4)).select("series_id", "cluster", "distance"))
+
+
+@query()
+def barycenter(spark, sf_dir):
+    center = average.barycenter(tables.slots(spark, sf_dir), max_it=5, initial_sample=20)
+    return spark.createDataFrame([(p, float(x)) for p, x in enumerate(center)], "pos int, value double")
+
+
+@query()
+def hierarchical(spark, sf_dir):
+    _, merges = cluster.agglomerate(pairwise.distances(tables.slots(spark, sf_dir)))
+    rows = cluster.tree_of(merges, 120)
+    return spark.createDataFrame(rows, "step int, left int, right int, distance double, size int")
+
+
+@query()
+def linkage_complete(spark, sf_dir):
+    d = pairwise.matrix(pairwise.distances(tables.slots(spark, sf_dir)), 120)
+    rows = [(n, int(a), int(b), float(x), int(k)) for n, (a, b, x, k) in enumerate(cluster.linkage(d))]
+    return spark.createDataFrame(rows, "step int, left int, right int, distance double, size int")
+
+
+@query()
+def k_medoids(spark, sf_dir):
+    return cluster.k_medoids(pairwise.distances(tables.slots(spark, sf_dir)), [0, 24, 48, 72, 96])[0]
+
+
+@query()
+def k_means(spark, sf_dir):
+    return cluster.k_means(tables.slots(spark, sf_dir), 5, DistanceSettings(window=4), max_it=4, max_dba_it=3)[0]
+
+
+# ---- paths
+
+
+@query()
+def warping_paths(spark, sf_dir):
+    p = pairwise.paths(tables.vectors(spark, sf_dir).withColumn("values", F.transform("values", lambda v: v[0])))
+    return rounded(p.select("i", "j", "distance", F.size("path").alias("length"), columns.warping_amount(F.col("path")).alias("turns")))
+
+
+def _paths_with_series(spark, sf_dir) -> DataFrame:
+    s = tables.hourly(spark, sf_dir).withColumn("values", F.slice("values", 1, 720))
+    p = pairwise.paths(s, DistanceSettings(window=12))
+    a, b = s.select(F.col("series_id").alias("i"), F.col("values").alias("a")), s.select(F.col("series_id").alias("j"), F.col("values").alias("b"))
+    return p.join(a, "i").join(b, "j")
+
+
+@query()
+def path_distances(spark, sf_dir):
+    """Along a pair's cheapest path, the plain cost is its distance again; relaxed, it is less."""
+    p = _paths_with_series(spark, sf_dir)
+    return p.select("i", "j", F.round("distance", 6).alias("distance"), F.round(columns.path_distance(F.col("path"), F.col("a"), F.col("b")), 6).alias("along"), F.round(columns.path_distance(F.col("path"), F.col("a"), F.col("b"), relaxed=True), 6).alias("relaxed"), F.size(columns.far_points(F.col("path"), F.col("a"), F.col("b"), 100.0)).alias("far"))
+
+
+@query()
+def warped_series(spark, sf_dir):
+    return average.warp(_paths_with_series(spark, sf_dir)).select("i", "j", F.posexplode("values").alias("pos", "value"))
+
+
+@query()
+def path_segments(spark, sf_dir):
+    return symbolize.explanations(tables.slots(spark, sf_dir))
+
+
+# ---- symbols
+
+
+@query()
+def symbols_cover(spark, sf_dir):
+    book = [list(MOTIF), [100.0, 0.0, 0.0, 0.0], [0.0, 0.0, 0.0, 0.0]]
+    return symbolize.codes(tables.slots(spark, sf_dir), book)
+
+
+_CODES = f"WITH {oracle.series('hourly')}, x AS (SELECT id, p, c, lead(c) OVER w AS n, p - row_number() OVER (PARTITION BY id, c ORDER BY p) AS k FROM (SELECT id, generate_subscripts(v, 1) - 1 AS p, CASE WHEN unnest(v) > 60 THEN 1 ELSE 0 END AS c FROM s) WINDOW w AS (PARTITION BY id ORDER BY p)), r AS (SELECT id, c, min(p) AS b, max(p) + 1 AS e FROM x GROUP BY id, c, k), l AS (SELECT *, lag(c) OVER (PARTITION BY id ORDER BY b) AS last FROM r WHERE e - b >= 4 AND e < 720)"
+
+
+@query(f"{_CODES} SELECT id AS series_id, (c + 1)::BIGINT AS symbol, b AS \"begin\", e AS \"end\" FROM l WHERE last IS NULL OR last <> c")
+def hangover_runs(spark, sf_dir):
+    coded = tables.hourly(spark, sf_dir).select("series_id", F.transform("values", lambda x: F.when(x > 60, 1).otherwise(0)).alias("codes"))
+    return symbolize.hangover(coded, 2)
