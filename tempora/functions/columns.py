@@ -205,18 +205,19 @@ def warping_amount(path: Column) -> Column:
 
 def path_distance(path: Column, a: Column, b: Column, relaxed: bool = False, squared: bool = True) -> Column:
     """Distance along a given path; relaxed: every point may move by half of its derivative to either side."""
-    da, db = derivative(a), derivative(b)
 
-    def cost(p: Column) -> Column:
-        x, y = F.get(a, p["i"]), F.get(b, p["j"])
+    def cost(z: Column, p: Column) -> Column:
+        x, y = F.get(z["a"], p["i"]), F.get(z["b"], p["j"])
         if not relaxed:
             d = F.abs(x - y)
         else:
-            u, v = F.get(da, p["i"]) / 2, F.get(db, p["j"]) / 2
+            u, v = F.get(z["da"], p["i"]) / 2, F.get(z["db"], p["j"]) / 2
             d = F.least(*[F.abs((x + s * u) - (y + t * v)) for s in (1, -1) for t in (1, -1)])
         return d * d if squared else d
 
-    total = _total(F.transform(path, cost))
+    # a lambda's outer expressions are computed for each element: the series and derivatives are bound once
+    parts = [path.alias("p"), a.alias("a"), b.alias("b")] + ([derivative(a).alias("da"), derivative(b).alias("db")] if relaxed else [])
+    total = F.get(F.transform(F.array(F.struct(*parts)), lambda z: _total(F.transform(z["p"], lambda p: cost(z, p)))), F.lit(0))
     return F.sqrt(total) if squared else total
 
 
