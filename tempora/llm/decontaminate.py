@@ -64,7 +64,7 @@ def hit_positions(docs: DataFrame, windows: DataFrame, keep: list[str]) -> DataF
         if (n := sets.count()) > MAX_WINDOWS:
             raise ValueError(f"{n} benchmark windows occur in the corpus; at most {MAX_WINDOWS} go to every task")
     by_length: dict[int, list[tuple[int, str]]] = {}
-    for length, h, window in sets.collect():  # at most MAX_WINDOWS rows
+    for length, h, window in sets.select("length", "hash", "window").collect():  # at most MAX_WINDOWS rows
         by_length.setdefault(length, []).append((h, window))
     rows = docs.select(*keep, words("text").alias("__words"))
     parts = []
