@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -12,7 +13,7 @@ from tempora.llm.components import components
 
 
 def shingle_set(text: str | None) -> frozenset:
-    w = [x for x in "".join(c.lower() if c.isascii() else c for c in text or "").replace("\n", " ").split(" ") if x]
+    w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in text or ""))
     return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
 
 
