@@ -333,3 +333,47 @@ def affinity_table(a: np.ndarray, b: np.ndarray, gamma: float, tau: float, delta
 def step_moves(steps: str) -> tuple[tuple[int, int], ...]:
     """Rows and columns that each allowed step goes back; the diagonal first."""
     return {"typeI": ((1, 1), (1, 0), (0, 1)), "typeIII": ((1, 1), (1, 2), (2, 1)), "diagonal": ((1, 1),)}[steps]
+
+
+def traced(table: np.ndarray, row: int | None = None, col: int | None = None, largest: bool = False, penalty: float = 0.0, tie: str = "up", tolerance: float = 0.0) -> list[tuple[int, int]]:
+    """The path through a table with borders, back from a cell (the corner if none is given), without the border.
+
+    Predecessors: the least (or largest), the diagonal first among equals. Cells below 0 are
+    closed: they mark what was skipped or taken.
+    """
+    i, j = len(table) - 1 if row is None else row, table.shape[1] - 1 if col is None else col
+    out = []
+    while i > 0 and j > 0:
+        out.append((i - 1, j - 1))
+        moves = [(0.0, i - 1, j - 1), (penalty, i - 1, j), (penalty, i, j - 1)]
+        if tie == "left":
+            moves[1:] = moves[:0:-1]
+        sign = -1.0 if largest else 1.0
+        costs = [sign * (table[p, q] + sign * x) if table[p, q] >= 0 else INF for x, p, q in moves]
+        least = min(costs)
+        if not np.isfinite(least):
+            break
+        k = next(n for n, c in enumerate(costs) if c <= least + tolerance * abs(least))
+        _, i, j = moves[k]
+    return out[::-1]
+
+
+def table_of(a: Sequence, b: Sequence, settings: DistanceSettings, mark_skipped: bool = True) -> tuple[float, np.ndarray]:
+    """(distance, table as distances, border first). Cells that the relaxed end skips are -1."""
+    sweep = Sweep([a], [b], settings, keep=True)
+    table = sweep.table[:, :, 0].copy()
+    out = np.sqrt(table) if settings.squared else table
+    i, j = sweep.end[:, 0]
+    if mark_skipped:
+        if i < len(a):
+            out[i + 1 :, -1] = -1
+        if j < len(b):
+            out[-1, j + 1 :] = -1
+    return float(sweep.distances()[0]), out
+
+
+def penalised_afterwards(a: Sequence, b: Sequence, settings: DistanceSettings, penalty: float) -> tuple[float, np.ndarray, list[tuple[int, int]]]:
+    """(distance, path, steps): the cheapest path's distance plus a penalty for each step that isn't diagonal."""
+    (d,), (path,) = warped([a], [b], settings)
+    steps = [tuple(s) for s in np.diff(path, axis=0).tolist()]
+    return float(d) + penalty * sum(s != (1, 1) for s in steps), path, steps

@@ -134,11 +134,16 @@ def learned_weights(prototype: Sequence[float], values: Sequence[Sequence[float]
     differences count as they are.
     """
     prototype = np.asarray(prototype, float)
-    values, labels = [np.asarray(v, float) for v in values], np.asarray(labels)
-    features = np.concatenate([np.zeros((1, 2 * len(prototype))), deviations(prototype, values, window)])
+    return weights_from(deviations(prototype, [np.asarray(v, float) for v in values], window), np.asarray(labels), rounds, least_purity)
+
+
+def weights_from(rows: np.ndarray, labels: np.ndarray, rounds: int = 10, least_purity: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """As learned_weights, from rows of deviations. The prototype itself is a row of zeros that must link."""
+    points = rows.shape[1] // 2
+    features = np.concatenate([np.zeros((1, 2 * points)), rows])
     targets = np.concatenate([[0], 1 - labels])
-    out = np.tile([math.inf, math.inf, 0.0, 0.0, 0.0, 0.0, math.inf, math.inf], (len(prototype), 1))
-    importance, used, weight = np.zeros((len(prototype), 2)), set(), 1.0
+    out = np.tile([math.inf, math.inf, 0.0, 0.0, 0.0, 0.0, math.inf, math.inf], (points, 1))
+    importance, used, weight = np.zeros((points, 2)), set(), 1.0
     for _ in range(rounds):
         tree = fit(features, targets, ignore=sorted(used))
         if not tree.used or 1 - tree.leaf_entropy() < least_purity:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tempora.kernels import dtw
-from tempora.operators import average
+from tempora.operators import average, pairwise
 from tempora.operators.pairwise import _values
 from tempora.settings import DistanceSettings
 
@@ -131,6 +131,17 @@ def k_medoids(pairs: DataFrame, medoids: list[int], max_it: int = 20) -> tuple[D
         both.unpersist()
 
 
+def medoid_centers(series: DataFrame, k: int, settings: DistanceSettings = DistanceSettings(), sample: int = 200) -> list:
+    """k-means starts: the medoids of a sample that is drawn by a hash of the ids."""
+    some = series.orderBy(F.xxhash64("series_id"), "series_id").limit(sample).select("series_id", "values").persist()
+    try:
+        first = [r[0] for r in some.orderBy("series_id").select("series_id").limit(k).collect()]
+        _, medoids = k_medoids(pairwise.distances(some, settings), first)
+        return [r[0] for r in some.where(F.col("series_id").isin(medoids)).orderBy("series_id").select("values").collect()]
+    finally:
+        some.unpersist()
+
+
 def assign(series: DataFrame, centers: dict[int, np.ndarray], settings: DistanceSettings) -> DataFrame:
     """series_id, values, cluster, distance: the nearest center, the smaller number on ties."""
     shared = series.sparkSession.sparkContext.broadcast(centers)

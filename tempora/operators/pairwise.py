@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tempora.functions import columns
 from tempora.kernels import dtw, measures
-from tempora.settings import DistanceSettings
+from tempora.settings import ConcurrenceSettings, DistanceSettings
 
 BLOCK = 128
 #: Pairs of series that a task hands to a kernel at once.
@@ -166,6 +166,42 @@ def paths(series: DataFrame, settings: DistanceSettings = DistanceSettings(), ot
     return out.select("i", "j", "warp.distance", "warp.path")
 
 
+def cost_tables(series: DataFrame, settings: DistanceSettings = DistanceSettings(), block: Rectangle | None = None) -> DataFrame:
+    """(i, j, distance, table): accumulated costs as distances, border row and column first; for few, short pairs."""
+
+    def kernel(a: list, b: list) -> list:
+        return [{"distance": d, "table": t.tolist()} for d, t in (dtw.table_of(x, y, settings) for x, y in zip(a, b, strict=True))]
+
+    return block_pairs(series, None, kernel, "t struct<distance: double, table: array<array<double>>>", block).select("i", "j", "t.distance", "t.table")
+
+
+def table_cells(tables: DataFrame) -> DataFrame:
+    """(i, j, row, col, cost): the reachable cells of cost tables, without the border."""
+    rows = tables.select("i", "j", F.posexplode("table").alias("row", "line")).where("row > 0")
+    cells = rows.select("i", "j", F.col("row").alias("r"), F.posexplode("line").alias("c", "cost")).where("c > 0")
+    return cells.where(F.col("cost") != float("inf")).select("i", "j", (F.col("r") - 1).alias("row"), (F.col("c") - 1).alias("col"), "cost")
+
+
+def affinity_tables(series: DataFrame, settings: ConcurrenceSettings, block: Rectangle | None = None) -> DataFrame:
+    """(i, j, table): accumulated affinities of every pair."""
+    s = settings
+
+    def kernel(a: list, b: list) -> list:
+        return [dtw.affinity_table(x, y, s.gamma, s.tau, s.delta, s.delta_factor, s.penalty, s.window, s.only_triu, s.steps).tolist() for x, y in zip(a, b, strict=True)]
+
+    return block_pairs(series, None, kernel, "table array<array<double>>", block)
+
+
+def alignments(strings: DataFrame, scores: dict[tuple[str, str], float] | None = None, gap: float = 1.0) -> DataFrame:
+    """(i, j, score, first, second): the aligned sequences of every pair, with gaps."""
+    cost = measures.substitution(scores, gap) if scores else measures.plain
+
+    def kernel(a: list, b: list) -> list:
+        return [{k: (float(m[k]) if k == "score" else list(m[k])) for k in ("score", "first", "second")} for m in (measures.global_alignment(x, y, cost) for x, y in zip(a, b, strict=True))]
+
+    return block_pairs(strings, None, kernel, "m struct<score: double, first: array<string>, second: array<string>>").select("i", "j", "m.score", "m.first", "m.second")
+
+
 def column_pairs(series: DataFrame, expression: Callable[[Column, Column], Column], name: str = "distance", keep: Column | None = None) -> DataFrame:
     """All pairs i < j by an expression of both value columns, in the JVM: an equi-join of block pairs."""
     n = series.count()

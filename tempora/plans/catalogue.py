@@ -445,3 +445,54 @@ _CODES = f"WITH {oracle.series('hourly')}, x AS (SELECT id, p, c, lead(c) OVER w
 def hangover_runs(spark, sf_dir):
     coded = tables.hourly(spark, sf_dir).select("series_id", F.transform("values", lambda x: F.when(x > 60, 1).otherwise(0)).alias("codes"))
     return symbolize.hangover(coded, 2)
+
+
+# ---- tables, alignments, learned weights, smoothing and the SQL surface
+
+from tempora.functions import sql  # noqa: E402
+from tempora.operators import learn  # noqa: E402
+from tempora.settings import ConcurrenceSettings  # noqa: E402
+
+
+@query(f"WITH {oracle.pairs('vectors')}, r AS (SELECT i, j, {_dim(1)} AS row, len(a) - 1 AS n FROM p) SELECT i, j, n AS row, unnest(range(len(row) - 1)) AS col, round(sqrt(unnest(row[2:])), 6) AS cost FROM r")
+def cost_table_last_rows(spark, sf_dir):
+    """The last rows of the pairs' cost tables, in long form."""
+    s = tables.vectors(spark, sf_dir).withColumn("values", F.transform("values", lambda v: v[0]))
+    cells = pairwise.table_cells(pairwise.cost_tables(s))
+    last = s.select(F.col("series_id").alias("i"), (F.size("values") - 1).alias("n"))
+    return cells.join(last, "i").where("row = n").select("i", "j", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), F.round("cost", 6).alias("cost"))
+
+
+@query()
+def affinity_tables(spark, sf_dir):
+    s = tables.vectors(spark, sf_dir).withColumn("values", F.transform("values", lambda v: v[0]))
+    t = pairwise.affinity_tables(s, ConcurrenceSettings(gamma=100.0, tau=0.5, delta=-1.0, delta_factor=0.9))
+    return t.select("i", "j", F.round(F.array_max(F.transform("table", lambda r: F.array_max(r))), 6).alias("highest"))
+
+
+@query()
+def alignments(spark, sf_dir):
+    found = pairwise.alignments(tables.names(spark, sf_dir))
+    return found.select("i", "j", "score", F.array_join("first", "").alias("first"), F.array_join("second", "").alias("second"))
+
+
+@query()
+def learned_weights(spark, sf_dir):
+    """Weights that tell the slots of the busiest event type from the others, around its mean."""
+    label = F.when(F.col("series_id") < 24, 1).otherwise(0).cast("int")
+    knots, importance = learn.weights(tables.slots(spark, sf_dir).withColumn("label", label), type_means(spark, sf_dir)[0][1])
+    return spark.createDataFrame([(k, float(a), float(b), [float(x) for x in row]) for k, ((a, b), row) in enumerate(zip(importance, knots, strict=True))], "pos int, negative double, positive double, knots array<double>")
+
+
+@query()
+def smoothing(spark, sf_dir):
+    sql.register(spark)
+    return values_out(tables.raw(spark, sf_dir).withColumn("values", F.expr("ts_smooth(values, 0.1D)")))
+
+
+@query(oracle.all_pairs("slots", "sqrt(list_sum(list_transform(range(1, len(a) + 1), lambda k: (a[k] - b[k]) ** 2)))"))
+def sql_functions(spark, sf_dir):
+    """Pairs joined and measured in SQL text."""
+    sql.register(spark)
+    tables.slots(spark, sf_dir).createOrReplaceTempView("slots")
+    return spark.sql("SELECT x.series_id AS i, y.series_id AS j, round(ts_ed(x.values, y.values), 6) AS distance FROM slots x JOIN slots y ON x.series_id < y.series_id")
