@@ -6,7 +6,8 @@ size o as keys: two light sets share a key exactly if they are similar. Heavy se
 through inverted lists: a set's keys are its 1 + n - ceil(3 n / 4) shingles that are rarest
 in the corpus, and two similar sets share one of these, whatever order is used, as long as
 it is the same for all. The order comes from a sketch of shingle counts over the whole
-corpus, of fixed size.
+corpus, of fixed size. The n-th key of a set can only be the first one in common with sets
+up to a size, its reach, as what follows must make up the whole overlap.
 
 The boundary is chosen by cost: a size is light while its subsets are no more than its keys
 times the mean length of the lists they would be looked up in, as the sketch has it. Sets
@@ -20,7 +21,6 @@ rows with equal doc_id are told apart by their texts; an empty table gives no ro
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 from itertools import combinations
 
 import numpy as np
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tempora.llm.common import table
-from tempora.llm.setjoin import SKETCH_BITS, Units, clustered, mixed, whole
+from tempora.llm.setjoin import Keys, Sets, Units, clustered, mixed, whole
 
 
 def overlap(a: int, b: int) -> int:
@@ -58,31 +58,39 @@ def boundary(counts: np.ndarray) -> int:
     return n
 
 
-def heavy_light(counts: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+def heavy_light(counts: np.ndarray) -> Keys:
     light = boundary(counts)
     heavy_from = -(-3 * (light + 1) // 4)
-    mask = np.uint64((1 << SKETCH_BITS) - 1)
+    mask = np.uint64(len(counts) - 1)
 
-    def keys(s: np.ndarray) -> np.ndarray:
-        n, out = len(s), []
+    def of_one(s: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        n, keys, reach = len(s), [], []
         if n >= heavy_from:
-            often = counts[(s & mask).astype(np.int64)]
-            p = prefix(n)
-            if p < n:
-                # rarest first, equal counts by hash
-                limit = np.partition(often, p - 1)[p - 1]
-                sure = s[often < limit]
-                out += [sure, s[often == limit][: p - len(sure)]]
-            else:
-                out.append(s)
+            often, p = counts[(s & mask).astype(np.int64)], prefix(n)
+            # rarest first, equal counts by hash (s is sorted)
+            order = np.argsort(often, kind="stable")[:p]
+            keys.append(s[order])
+            # sets that have their first common shingle here share no more than what follows
+            reach.append((4 * n - 7 * np.arange(p)) // 3)
         if n <= light:
             for a, b in partners(n):
                 o = overlap(a, b)
                 if b <= light and o <= a:
                     tag = np.uint64((a << 8 | b) * 0x9E3779B97F4A7C15 % 2**64)
                     picked = np.array(list(combinations(s.tolist(), o)), np.uint64)
-                    out.append(mixed(mixed(picked + tag).sum(1) + tag))
-        return np.concatenate(out)
+                    keys.append(mixed(mixed(picked + tag).sum(1) + tag))
+                    reach.append(np.full(len(picked), b if n == a else a))
+        return keys, reach
+
+    def keys(sets: Sets) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        made, far, owner, lengths = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [], []
+        for k in np.flatnonzero(sets.sizes).tolist():
+            some, reach = of_one(sets[k])
+            made += some
+            far += reach
+            owner.append(k)
+            lengths.append(sum(map(len, some)))
+        return np.concatenate(made), np.concatenate(far), np.repeat(np.array(owner, np.int64), np.array(lengths, np.int64))
 
     return keys
 

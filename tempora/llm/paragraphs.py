@@ -14,7 +14,8 @@ are repeats too; repeated rows are repeats of each other; an empty table gives n
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,9 +23,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tempora.llm.common import by_blocks, table
-from tempora.llm.setjoin import PERCENT, Units, _hashes, clustered, mixed
+from tempora.llm.setjoin import PERCENT, Keys, Sets, Units, _hashes, clustered, mixed
 
 SHORT, LONG, RECALL = 20, 80, 0.999
+NOT_BLANK = re.compile(rb"[^ \t\r\x0b\x0c]+")
 #: Dissimilar paragraphs (a quarter of the union in common) that may collide, as a share.
 LOOSE, LOOSE_AT = 0.5, 0.25
 
@@ -50,37 +52,38 @@ def spans(text: str | None) -> list[tuple[int, int, list[bytes]]]:
         if len(words) <= LONG:
             out.append((at, at + len(line), words))
         else:
-            begin = place = last = 0
-            for k, word in enumerate(words):
-                place = line.lower().find(word, place) + len(word) if k == 0 else _after(line, place, len(word))
-                if word[-1:] in b".!?" and k and (_hashes[word] ^ _hashes[words[k - 1]]) % 3 == 0:
-                    out.append((at + begin, at + place, words[last : k + 1]))
-                    begin, last = place, k + 1
+            begin = last = 0
+            cuts = [k for k, word in enumerate(words) if word[-1:] in b".!?" and k and (_hashes[word] ^ _hashes[words[k - 1]]) % 3 == 0]
+            ends = [m.end() for m in NOT_BLANK.finditer(line)] if cuts else []
+            for k in cuts:
+                out.append((at + begin, at + ends[k], words[last : k + 1]))
+                begin, last = ends[k], k + 1
             if last < len(words):
                 out.append((at + begin, at + len(line), words[last:]))
+            elif begin < len(line):  # blanks after the last cut
+                out.append((at + begin, at + len(line), []))
         at += len(line) + 1
     return out
 
 
-def _after(line: bytes, place: int, n: int) -> int:
-    """Where the next word, of n bytes, ends."""
-    while line[place] in b" \t\r\x0b\x0c":
-        place += 1
-    return place + n
-
-
 def taking_part(text: str | None) -> list[tuple[int, list[bytes]]]:
     return [(k, words) for k, (_, _, words) in enumerate(spans(text)) if len(words) >= SHORT]
 
 
-def banded(_: np.ndarray | None) -> Callable[[np.ndarray], np.ndarray]:
+def banded(_: np.ndarray | None) -> Keys:
     bands, rows = tuned()
-    seeds = np.random.default_rng(20).integers(1, 2**63, bands * rows, dtype=np.uint64)
-    tags = np.arange(1, bands + 1, dtype=np.uint64)
-
-    def keys(s: np.ndarray) -> np.ndarray:
-        least = mixed(s[None, :] ^ seeds[:, None]).min(1).reshape(bands, rows)
-        return mixed((mixed(least) * (np.arange(rows, dtype=np.uint64) * np.uint64(2) + np.uint64(3))).sum(1) + tags)
+    seeds = np.random.default_rng(20).integers(1, 2**63, (bands, rows), dtype=np.uint64)
+
+    def keys(sets: Sets) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        full = np.flatnonzero(sets.sizes)
+        out = []
+        for band in range(bands if len(full) else 0):
+            key = np.full(len(full), band + 1, np.uint64)
+            for row in range(rows):
+                key = mixed(key + mixed(np.minimum.reduceat(mixed(sets.flat ^ seeds[band, row]), sets.starts[full])))
+            out.append(key)
+        reach = sets.sizes[full] * 4 // 3
+        return np.concatenate([np.zeros(0, np.uint64), *out]), np.tile(reach, len(out)), np.tile(full, len(out))
 
     return keys
 

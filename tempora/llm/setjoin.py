@@ -5,7 +5,9 @@ Equal sets are one node. Nodes that may be similar meet under a key: a caller-gi
 of the set makes its keys, such that similar sets share one. The least node under a key is
 the key's leader, and every node visits the blocks of its keys' leaders. So a group of
 copies, however its keys overlap, gathers in few blocks instead of being paired up key by
-key, and rows stay proportional to nodes.
+key, and rows stay proportional to nodes. A key comes with its reach, the size of the
+largest set that can be similar to its own and meet it there; a visit is left out if no
+other set under the key is within reach and has this one within its own.
 
 A block is verified in one pass over an inverted index of its sets: starting from any node,
 the lists of its shingles are scanned and overlaps counted for all nodes not reached yet;
@@ -19,8 +21,10 @@ past it, so memory stays bounded whatever the size of the group.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +40,7 @@ SHINGLE = 5
 PERCENT = 75
 #: Shingles that a task indexes at once.
 CHUNK = 2_000_000
-SKETCH_BITS = 20
+SKETCH_BITS = 22
 
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -64,23 +68,53 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").lower().split()
 
 
-def shingles(words: list[bytes]) -> np.ndarray:
-    """Sorted distinct hashes of all runs of 5 words; fewer words are one run, none is empty."""
-    n = len(words)
-    if not n:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, n)
-    if n < SHINGLE:
-        return mixed((h * _MULTIPLIERS[:n]).sum(keepdims=True) + np.uint64(n))
-    total = h[: n - SHINGLE + 1] * _MULTIPLIERS[0]
+@dataclass(frozen=True)
+class Sets:
+    """Sorted distinct shingle hashes of some units, one after another; starts has one more entry than units."""
+
+    flat: np.ndarray
+    starts: np.ndarray
+
+    @property
+    def sizes(self) -> np.ndarray:
+        return np.diff(self.starts)
+
+    def __getitem__(self, k: int) -> np.ndarray:
+        return self.flat[self.starts[k] : self.starts[k + 1]]
+
+    def nodes(self) -> np.ndarray:
+        """64-bit ids of the sets, as signed numbers: sums over their members, mixed again. Empty sets have 0."""
+        out = np.zeros(len(self.starts) - 1, np.uint64)
+        full = np.flatnonzero(self.sizes)
+        if len(full):
+            out[full] = mixed(np.add.reduceat(mixed(self.flat ^ _MULTIPLIERS[0]), self.starts[full]) + self.sizes[full].astype(np.uint64) * _MULTIPLIERS[1])
+        return out.astype(np.int64)
+
+
+def shingle_sets(units: list[list[bytes]]) -> Sets:
+    """The sets of all runs of 5 words of each unit; fewer words are one run, none is empty."""
+    lengths = np.array([len(w) for w in units], np.int64)
+    n = int(lengths.sum())
+    h = np.fromiter(map(_hashes.__getitem__, chain.from_iterable(units)), np.uint64, n)
+    unit = np.repeat(np.arange(len(units), dtype=np.uint16 if len(units) < 65536 else np.int64), lengths)
+    m = max(0, n - SHINGLE + 1)
+    total = h[:m] * _MULTIPLIERS[0]
     for k in range(1, SHINGLE):
-        total = total + h[k : n - SHINGLE + 1 + k] * _MULTIPLIERS[k]
-    return np.unique(mixed(total))
-
-
-def node_of(shingle_set: np.ndarray) -> int:
-    """64-bit id of a set, as a signed number."""
-    return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(shingle_set.tobytes())).astype(np.int64)))
+        total += h[k : m + k] * _MULTIPLIERS[k]
+    inside = unit[:m] == unit[n - m :]
+    value, owner = mixed(total[inside]), unit[:m][inside]
+    short = np.flatnonzero((lengths > 0) & (lengths < SHINGLE))
+    if len(short):
+        ends = np.cumsum(lengths)
+        own = [mixed((h[ends[k] - lengths[k] : ends[k]] * _MULTIPLIERS[: lengths[k]]).sum(keepdims=True) + np.uint64(lengths[k])) for k in short.tolist()]
+        value, owner = np.concatenate([value, *own]), np.concatenate([owner, short.astype(owner.dtype)])
+    order = np.argsort(value)
+    order = order[np.argsort(owner[order], kind="stable")]
+    value, owner = value[order], owner[order]
+    first = np.ones(len(value), bool)
+    first[1:] = (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])
+    value, owner = value[first], owner[first]
+    return Sets(value, np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(units)))]).astype(np.int64))
 
 
 @dataclass(frozen=True)
@@ -98,7 +132,7 @@ def described(docs: DataFrame, units: Units, sketch: bool) -> DataFrame:
     """doc_id, unit, n_words, size, node of every unit; with `sketch` also rows of counts.
 
     The sketch counts all shingles of the corpus in 2^SKETCH_BITS cells by their low bits.
-    Its rows have a slice number and 4-byte counts instead of a unit.
+    Its rows have a slice number and compressed 4-byte counts instead of a unit.
     """
     cells, per = 1 << SKETCH_BITS, 1 << 14
 
@@ -106,20 +140,18 @@ def described(docs: DataFrame, units: Units, sketch: bool) -> DataFrame:
         counts = np.zeros(cells, np.uint32) if sketch else None
         for batch in batches:
             for block in by_blocks(batch, "text"):
-                rows = []
-                seen = []
+                rows, parts = [], []
                 for doc_id, text in zip(block.column(0).to_pylist(), block.column(1).to_pylist(), strict=True):
                     for unit, words in units.split(text):
-                        s = shingles(words)
-                        rows.append((doc_id, unit, len(words), len(s), node_of(s) if len(s) else None))
-                        seen.append(s)
-                if counts is not None and seen:
-                    low = np.concatenate(seen) & np.uint64(cells - 1)
-                    counts += np.bincount(low.astype(np.int64), minlength=cells).astype(np.uint32)
-                yield as_batch(rows)
+                        rows.append((doc_id, unit, len(words)))
+                        parts.append(words)
+                sets = shingle_sets(parts)
+                if counts is not None:
+                    counts += np.bincount((sets.flat & np.uint64(cells - 1)).astype(np.int64), minlength=cells).astype(np.uint32)
+                yield as_batch([(*r, n, node if n else None) for r, n, node in zip(rows, sets.sizes.tolist(), sets.nodes().tolist(), strict=True)])
         if counts is not None and counts.any():
             for k in range(0, cells, per):
-                yield as_batch([(None, k // per, 0, 0, None)], [counts[k : k + per].tobytes()])
+                yield as_batch([(None, k // per, 0, 0, None)], [zlib.compress(counts[k : k + per].tobytes(), 1)])
 
     def as_batch(rows: list[tuple], cells_: list[bytes] | None = None) -> pa.RecordBatch:
         kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
@@ -134,58 +166,65 @@ def summed_sketch(rows: DataFrame) -> np.ndarray:
     """The sketch over all partitions: 2^SKETCH_BITS counts, whatever the size of the corpus."""
     import pandas as pd
 
-    def add(part: pd.DataFrame) -> pd.DataFrame:
+    def summed(packed) -> bytes:
         total = np.zeros(1 << 14, np.uint64)
-        for c in part["counts"]:
-            total += np.frombuffer(c, np.uint32)
-        return pd.DataFrame({"unit": part["unit"].iloc[:1], "counts": [np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()]})
+        for c in packed:
+            total += np.frombuffer(zlib.decompress(c), np.uint32)
+        return zlib.compress(np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes(), 1)
+
+    def add(part: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"unit": part["unit"].iloc[:1], "counts": [summed(part["counts"])]})
 
     def add_some(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: dict[int, np.ndarray] = {}
         for part in parts:
-            for unit, c in zip(part["unit"], part["counts"], strict=True):
-                now = np.frombuffer(c, np.uint32).astype(np.uint64)
-                total[unit] = total[unit] + now if unit in total else now
-        for unit, t in total.items():
-            yield pd.DataFrame({"unit": [unit], "counts": [np.minimum(t, 2**32 - 1).astype(np.uint32).tobytes()]})
+            by = part.groupby("unit")["counts"].apply(summed).reset_index()
+            yield by[["unit", "counts"]]
 
     some = rows.where(F.col("counts").isNotNull()).select("unit", "counts").mapInPandas(add_some, "unit int, counts binary")
     got = some.groupBy("unit").applyInPandas(add, "unit int, counts binary").collect()
     out = np.zeros(1 << SKETCH_BITS, np.uint32)
     for unit, c in got:
-        out[unit << 14 : (unit + 1) << 14] = np.frombuffer(c, np.uint32)
+        out[unit << 14 : (unit + 1) << 14] = np.frombuffer(zlib.decompress(c), np.uint32)
     return out
 
 
-def postings(docs: DataFrame, units: Units, keys: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """(key, node) for all keys of all units."""
+#: From sets to their keys: key, reach and number of the set, as three arrays.
+Keys = Callable[[Sets], tuple[np.ndarray, np.ndarray, np.ndarray]]
+
+
+def postings(docs: DataFrame, units: Units, keys: Keys) -> DataFrame:
+    """(key, node, size, reach) for all keys of all units."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in by_blocks(batch, "text"):
-                made, nodes, lengths = [], [], []
-                for text in block.column(0).to_pylist():
-                    for _, words in units.split(text):
-                        s = shingles(words)
-                        if len(s):
-                            k = keys(s)
-                            made.append(k)
-                            nodes.append(node_of(s))
-                            lengths.append(len(k))
-                if made:
-                    key = np.concatenate(made).astype(np.int64)
-                    node = np.repeat(np.array(nodes, np.int64), lengths)
-                    for at in range(0, len(key), 1 << 17):
-                        yield pa.RecordBatch.from_arrays([pa.array(key[at : at + (1 << 17)]), pa.array(node[at : at + (1 << 17)])], ["key", "node"])
-
-    return docs.select("text").mapInArrow(run, "key long, node long")
+                sets = shingle_sets([words for text in block.column(0).to_pylist() for _, words in units.split(text)])
+                key, reach, owner = keys(sets)
+                columns = [key.astype(np.int64), sets.nodes()[owner], sets.sizes[owner].astype(np.int32), reach.astype(np.int32)]
+                for at in range(0, len(key), 1 << 17):
+                    yield pa.RecordBatch.from_arrays([pa.array(c[at : at + (1 << 17)]) for c in columns], ["key", "node", "size", "reach"])
+
+    return docs.select("text").mapInArrow(run, "key long, node long, size int, reach int")
 
 
 def visits(posted: DataFrame) -> DataFrame:
-    """(node, leader): the blocks that each node goes to; keys of a single node lead nowhere."""
-    w = Window.partitionBy("key")
-    led = posted.select("node", F.min("node").over(w).alias("leader"), F.max("node").over(w).alias("last"))
-    return led.where("leader <> last").select("node", "leader").distinct()
+    """(node, leader): the blocks that each node goes to.
+
+    Keys of a single node lead nowhere. Under a key, by size: of the sets before, the one
+    with the farthest reach must reach this one, and the least must be within this one's
+    reach; or the next set must be within reach, and some set after must reach back.
+    """
+    key = Window.partitionBy("key")
+    before = key.orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
+    after = key.orderBy("size").rowsBetween(1, Window.unboundedFollowing)
+    led = posted.select(
+        "node",
+        F.min("node").over(key).alias("leader"),
+        F.max("node").over(key).alias("last"),
+        ((F.max("reach").over(before) >= F.col("size")) & (F.min("size").over(before) <= F.col("reach"))).alias("smaller"),
+        ((F.min("size").over(after) <= F.col("reach")) & (F.max("reach").over(after) >= F.col("size"))).alias("larger"),
+    )
+    return led.where("leader <> last and (smaller or larger)").select("node", "leader").distinct()
 
 
 class Index:
@@ -291,10 +330,12 @@ def block_links(docs: DataFrame, units: Units, rel: DataFrame, nodes: DataFrame)
 
         for batch in batches:
             links: list[tuple[int, int]] = []
-            for leader, chunk, member, node, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                s = shingles(words.split(b" "))
-                if node_of(s) != node:
+            rows = list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
+            made = shingle_sets([r[4].split(b" ") for r in rows])
+            for k, ((leader, chunk, member, node, _), got) in enumerate(zip(rows, made.nodes().tolist(), strict=True)):
+                if got != node:
                     continue  # another row with the same doc_id
+                s = made[k]
                 if at != (leader, chunk):
                     links += close()
                     at, index, label, ids, sets = (leader, chunk), None, None, [], []
@@ -313,7 +354,7 @@ def block_links(docs: DataFrame, units: Units, rel: DataFrame, nodes: DataFrame)
     return rows.mapInArrow(verify, "a long, b long")
 
 
-def clustered(spark: SparkSession, docs: DataFrame, units: Units, make_keys: Callable[[np.ndarray | None], Callable[[np.ndarray], np.ndarray]], sketch: bool) -> tuple[DataFrame, DataFrame]:
+def clustered(spark: SparkSession, docs: DataFrame, units: Units, make_keys: Callable[[np.ndarray | None], Keys], sketch: bool) -> tuple[DataFrame, DataFrame]:
     """(units: doc_id, unit, n_words, size, node; classes: node, component) of the similarity graph.
 
     Nodes without a link are not in classes. make_keys gets the sketch, or None.
