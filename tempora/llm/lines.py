@@ -73,9 +73,13 @@ def segment_keys(edits: int) -> list[tuple[int, int, int, bool]]:
 
 
 def filed(rows: DataFrame, edits: int = EDITS) -> DataFrame:
-    """key, id, counts, role (1: index, 2: probe, 3: both) for rows (line)."""
+    """key, id, counts, role (1: index, 2: probe, 3: both) for rows (line), once for equal lines.
+
+    Equal lines are put together before their keys become rows, by an aggregate of numbers
+    only, so the copies of a common line meet neither each other nor anything else twice.
+    """
     rows = rows.select("line", F.length("line").alias("n"))
-    keys = []
+    keys, roles = [], []
     for less, i, offset, both in segment_keys(edits):
         size = F.col("n") - less
         base, longer = F.floor(size / (edits + 1)).cast("int"), size % (edits + 1)
@@ -85,9 +89,12 @@ def filed(rows: DataFrame, edits: int = EDITS) -> DataFrame:
         at = begin + 1 + offset
         key = F.xxhash64(size, F.lit(i), F.substring("line", at, length))
         inside = (at >= 1) & (at + length - 1 <= F.col("n")) & (size >= LEAST)
-        keys.append(F.when(inside, F.struct(key.alias("key"), F.lit(3 if both else 2).alias("role"))))
-    rows = rows.select(line_hash(F.col("line")).alias("id"), letter_counts(F.col("line")).alias("counts"), F.explode(F.array(*keys)).alias("k"))
-    return rows.where("k is not null").select("k.key", "id", "counts", "k.role")
+        keys.append(F.when(inside, key).alias(f"k{len(keys)}"))
+        roles.append(3 if both else 2)
+    rows = rows.select(line_hash(F.col("line")).alias("id"), letter_counts(F.col("line")).alias("counts"), *keys)
+    once = rows.groupBy("id").agg(F.first("counts").alias("counts"), *[F.first(f"k{k}").alias(f"k{k}") for k in range(len(keys))])
+    each = F.array(*[F.struct(F.col(f"k{k}").alias("key"), F.lit(r).alias("role")) for k, r in enumerate(roles)])
+    return once.select("id", "counts", F.explode(each).alias("k")).where("k.key is not null").select("k.key", "id", "counts", "k.role")
 
 
 def candidates(keys: DataFrame, edits: int = EDITS) -> DataFrame:
