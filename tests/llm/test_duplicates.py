@@ -199,3 +199,21 @@ def test_passages_that_repeat(spark, docs_of):
 def test_bands_reach_their_recall():
     bands, per = paragraphs.tuned()
     assert 1 - (1 - 0.75**per) ** bands >= paragraphs.RECALL
+
+
+def test_letter_counts_never_exceed_twice_the_edits(spark):
+    """Counts of any size: the remainders fill all bits of the number, the sign's too."""
+    from pyspark.sql import functions as F
+
+    r = random.Random(12)
+    pairs = []
+    for k in range(200):
+        a = "".join(r.choice(lines.LETTERS) * r.randint(1, 20) for _ in range(r.randint(1, 40)))
+        pairs.append((a, changed(r, a), "".join(r.choice(lines.LETTERS) for _ in range(k + 1))))
+    df = spark.createDataFrame([*pairs, ("p" * 15 + "m" * 8, "", "p" * 8)], "a string, b string, c string")
+    apart = lambda x, y: lines.counts_apart(lines.letter_counts(F.col(x)), lines.letter_counts(F.col(y)))
+    for row in df.select("a", "b", "c", apart("a", "b").alias("near"), apart("a", "c").alias("far"), apart("a", "a").alias("same")).collect():
+        assert row.same == 0 <= row.far
+        assert row.b == "" or row.near <= 2 * 4  # `changed` makes four edits at most
+        exact = sum(min(d, 16 - d) for d in ((row.a.count(x) - row.c.count(x)) % 16 for x in lines.LETTERS))
+        assert row.far == exact
