@@ -6,7 +6,7 @@ EDITS + 1 segments, of which a near copy must hold one unchanged: every line fil
 segments in an index, keyed by length, segment number and content, and probes it, for each
 length from its own less EDITS up to its own, with the substrings that can be that segment
 (only at the offsets that the edits left and right of it allow). Lines that meet under a key
-are compared by the counts of eight letters first, inside the join, and those left are
+are compared by the counts of sixteen letters first, inside the join, and those left are
 verified by a banded edit distance. The first line of each component (by doc_id, then place)
 stays and the others go.
 
@@ -29,7 +29,7 @@ from tempora.llm.components import components
 EDITS, LEAST = 2, 20
 #: Candidate lines whose hashes may go to every task; more are joined by a shuffle.
 BROADCAST_LINES = 500_000
-LETTERS = "etanioru"
+LETTERS = "etanioruhsdlcgmp"
 
 
 def line_hash(line: Column) -> Column:
@@ -46,19 +46,22 @@ def lines(docs: DataFrame) -> DataFrame:
 
 
 def letter_counts(line: Column) -> Column:
-    """Counts of eight letters, 255 at most, in the bytes of one number: an edit changes two of them by one at most."""
+    """Counts of sixteen letters, modulo 16, four bits each: an edit changes two of them by one at most."""
     out = F.lit(0).cast("long")
     for k, letter in enumerate(LETTERS):
-        n = F.least(F.octet_length(line) - F.octet_length(F.replace(line, F.lit(letter), F.lit(""))), F.lit(255))
-        out = out.bitwiseOR(F.shiftleft(n.cast("long"), 8 * k))
+        n = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(letter), F.lit("")))
+        out = out.bitwiseOR(F.shiftleft(n.bitwiseAND(F.lit(15)).cast("long"), 4 * k))
     return out
 
 
 def counts_apart(a: Column, b: Column) -> Column:
-    byte = lambda x, k: F.shiftrightunsigned(x, 8 * k).bitwiseAND(F.lit(255))
+    """The least sum of differences that counts with these remainders can have."""
     out = F.lit(0).cast("long")
     for k in range(len(LETTERS)):
-        out = out + F.abs(byte(a, k) - byte(b, k))
+        # cut to four bits before they are subtracted: whole numbers could overflow
+        x, y = (F.shiftrightunsigned(n, 4 * k).bitwiseAND(F.lit(15)) for n in (a, b))
+        apart = F.abs(x - y)
+        out = out + F.least(apart, 16 - apart)
     return out
 
 
