@@ -91,11 +91,15 @@ class Sets:
         return out.astype(np.int64)
 
 
-def shingle_sets(units: list[list[bytes]]) -> Sets:
+def word_hashes(units: list[list[bytes]]) -> np.ndarray:
+    return np.fromiter(map(_hashes.__getitem__, chain.from_iterable(units)), np.uint64, sum(map(len, units)))
+
+
+def shingle_sets(units: list[list[bytes]], hashes: np.ndarray | None = None) -> Sets:
     """The sets of all runs of 5 words of each unit; fewer words are one run, none is empty."""
     lengths = np.array([len(w) for w in units], np.int64)
     n = int(lengths.sum())
-    h = np.fromiter(map(_hashes.__getitem__, chain.from_iterable(units)), np.uint64, n)
+    h = word_hashes(units) if hashes is None else hashes
     unit = np.repeat(np.arange(len(units), dtype=np.uint16 if len(units) < 65536 else np.int64), lengths)
     m = max(0, n - SHINGLE + 1)
     total = h[:m] * _MULTIPLIERS[0]
@@ -117,11 +121,25 @@ def shingle_sets(units: list[list[bytes]]) -> Sets:
     return Sets(value, np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(units)))]).astype(np.int64))
 
 
+#: Unit number and words of units of a text, in order.
+Parts = list[tuple[int, list[bytes]]]
+#: From the units of some texts, and the hashes of all their words, to their fingerprints: number of the text, first word, key, first and last unit.
+Prints = Callable[[list[Parts], np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+
+
 @dataclass(frozen=True)
 class Units:
-    """How texts become units: split gives (unit number, words) of those that take part."""
+    """How texts become units: split gives (unit number, words), those of `least` words and more take part.
 
-    split: Callable[[str | None], list[tuple[int, list[bytes]]]]
+    With `prints`, described() also gives fingerprints of the words of all units.
+    """
+
+    split: Callable[[str | None], Parts]
+    least: int = 0
+    prints: Prints | None = None
+
+    def taking_part(self, text: str | None) -> Parts:
+        return [part for part in self.split(text) if len(part[1]) >= self.least]
 
 
 def whole(text: str | None) -> list[tuple[int, list[bytes]]]:
@@ -132,23 +150,41 @@ def described(docs: DataFrame, units: Units, sketch: bool) -> DataFrame:
     """doc_id, unit, n_words, size, node of every unit; with `sketch` also rows of counts.
 
     The sketch counts all shingles of the corpus in 2^SKETCH_BITS cells by their low bits.
-    Its rows have a slice number and compressed 4-byte counts instead of a unit.
+    Its rows have a slice number and compressed 4-byte counts instead of a unit. With
+    `units.prints` there are also rows of fingerprints: size -1, the first word as unit, the
+    key as node, and the first and last unit that it lies in.
     """
     cells, per = 1 << SKETCH_BITS, 1 << 14
+    names, places = ["doc_id", "unit", "n_words", "size", "node", "counts"], ["first", "last"] if units.prints else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(cells, np.uint32) if sketch else None
         for batch in batches:
             for block in by_blocks(batch, "text"):
-                rows, parts = [], []
-                for doc_id, text in zip(block.column(0).to_pylist(), block.column(1).to_pylist(), strict=True):
-                    for unit, words in units.split(text):
-                        rows.append((doc_id, unit, len(words)))
-                        parts.append(words)
-                sets = shingle_sets(parts)
+                rows, parts, texts = [], [], []
+                ids = block.column(0)
+                for doc_id, text in zip(ids.to_pylist(), block.column(1).to_pylist(), strict=True):
+                    split = units.split(text)
+                    if units.prints:
+                        texts.append(split)
+                    for unit, words in split:
+                        if len(words) >= units.least:
+                            rows.append((doc_id, unit, len(words)))
+                            parts.append(words)
+                hashes = own = None
+                if units.prints:
+                    every = [words for split in texts for _, words in split]
+                    hashes, lengths = word_hashes(every), np.array([len(words) for words in every], np.int64)
+                    own = hashes[np.repeat(lengths >= units.least, lengths)]
+                sets = shingle_sets(parts, own)
                 if counts is not None:
                     counts += np.bincount((sets.flat & np.uint64(cells - 1)).astype(np.int64), minlength=cells).astype(np.uint32)
                 yield as_batch([(*r, n, node if n else None) for r, n, node in zip(rows, sets.sizes.tolist(), sets.nodes().tolist(), strict=True)])
+                if units.prints:
+                    owner, at, key, first, last = units.prints(texts, hashes)
+                    n = len(at)
+                    columns = [ids.take(pa.array(owner)), pa.array(at, pa.int32()), pa.nulls(n, pa.int32()), pa.array(np.full(n, -1, np.int32)), pa.array(key.view(np.int64)), pa.nulls(n, pa.binary())]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(first, pa.int32()), pa.array(last, pa.int32())], [*names, *places])
         if counts is not None and counts.any():
             for k in range(0, cells, per):
                 yield as_batch([(None, k // per, 0, 0, None)], [zlib.compress(counts[k : k + per].tobytes(), 1)])
@@ -157,9 +193,11 @@ def described(docs: DataFrame, units: Units, sketch: bool) -> DataFrame:
         kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
         columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)]
         columns.append(pa.array(cells_ or [None] * len(rows), pa.binary()))
-        return pa.RecordBatch.from_arrays(columns, ["doc_id", "unit", "n_words", "size", "node", "counts"])
+        columns += [pa.nulls(len(rows), pa.int32()) for _ in places]
+        return pa.RecordBatch.from_arrays(columns, [*names, *places])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, unit int, n_words int, size int, node long, counts binary")
+    schema = "doc_id long, unit int, n_words int, size int, node long, counts binary" + "".join(f", {p} int" for p in places)
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def summed_sketch(rows: DataFrame) -> np.ndarray:
@@ -198,7 +236,7 @@ def postings(docs: DataFrame, units: Units, keys: Keys) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in by_blocks(batch, "text"):
-                sets = shingle_sets([words for text in block.column(0).to_pylist() for _, words in units.split(text)])
+                sets = shingle_sets([words for text in block.column(0).to_pylist() for _, words in units.taking_part(text)])
                 key, reach, owner = keys(sets)
                 columns = [key.astype(np.int64), sets.nodes()[owner], sets.sizes[owner].astype(np.int32), reach.astype(np.int32)]
                 for at in range(0, len(key), 1 << 17):
@@ -297,7 +335,7 @@ def block_links(docs: DataFrame, units: Units, rel: DataFrame, nodes: DataFrame)
             for block in by_blocks(batch, "text", 1 << 20):
                 rows = []
                 for text, to in zip(block.column(0).to_pylist(), block.column(1).to_pylist(), strict=True):
-                    by_unit = dict(units.split(text))
+                    by_unit = dict(units.taking_part(text))
                     for t in to:
                         if t["unit"] in by_unit:
                             rows.append((t["leader"], t["chunk"], t["member"], t["node"], b" ".join(by_unit[t["unit"]])))
@@ -359,9 +397,14 @@ def clustered(spark: SparkSession, docs: DataFrame, units: Units, make_keys: Cal
 
     Nodes without a link are not in classes. make_keys gets the sketch, or None.
     """
-    rows = written(spark, described(docs, units, sketch), "units")
+    return classes_of(spark, docs, written(spark, described(docs, units, sketch), "units"), units, make_keys, sketch)
+
+
+def classes_of(spark: SparkSession, docs: DataFrame, rows: DataFrame, units: Units, make_keys: Callable[[np.ndarray | None], Keys], sketch: bool) -> tuple[DataFrame, DataFrame]:
+    """clustered() from the rows that described() gave."""
     counts = summed_sketch(rows) if sketch else None
-    units_df = rows.where(F.col("counts").isNull()).drop("counts")
+    units_df = rows.where(F.col("counts").isNull() & (F.col("size") >= 0) if units.prints else F.col("counts").isNull())
+    units_df = units_df.select("doc_id", "unit", "n_words", "size", "node")
     rel = written(spark, visits(postings(docs, units, make_keys(counts))), "visits")
     least = F.min(F.struct("doc_id", "unit", "size")).alias("first")
     nodes = units_df.where(F.col("node").isNotNull()).groupBy("node").agg(least).select("node", "first.*")

@@ -196,6 +196,29 @@ def test_passages_that_repeat(spark, docs_of):
     assert "changed" not in kept[200] and len(kept[301]) < len(rows[27][1])
 
 
+def test_passages_that_keep_to_no_line(spark, docs_of):
+    """51 words spliced into lines, over short lines, and without any sentence mark."""
+    r = random.Random(18)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    some = lambda n: [word() for _ in range(n)]
+    def broken(words, n):
+        return "\n".join(" ".join(words[i : i + n]) for i in range(0, len(words), n))
+
+    mid, short, long_ = some(51), some(51), some(51)
+    rows = [(k, " ".join(some(11 + k) + mid + some(12))) for k in range(3)]
+    rows += [(10, broken(some(7) + short + some(9), 6)), (11, broken(some(3) + short + some(30), 8)), (12, " ".join(some(40) + short + some(40)))]
+    rows += [(20 + k, " ".join(some(150) + long_ + some(90))) for k in range(2)]
+    rows += [(30, broken(some(200), 9)), (31, " ".join(["same"] * 200)), (32, " ".join(some(70) + mid[:30] + some(40)))]
+    found = paragraphs.repeats(spark, docs_of(rows)).collect()
+    assert {x.doc_id for x in found} - {31} == {0, 1, 2, 10, 11, 12, 20, 21}
+    assert {x.doc_id for x in found if x.removed} - {31} == {1, 2, 11, 12, 21}
+    kept = {x.doc_id: (x.text or "").split() for x in paragraphs.without_repeats(spark, docs_of(rows)).collect()}
+    for d, text in rows:
+        lost = len(text.split()) - len(kept[d])
+        assert lost == 0 if d in (0, 10, 20, 30, 32) else d == 31 or 40 <= lost <= 51
+    assert set(kept[1]) >= set(rows[1][1].split()) - set(mid)
+
+
 def test_bands_reach_their_recall():
     bands, per = paragraphs.tuned()
     assert 1 - (1 - 0.75**per) ** bands >= paragraphs.RECALL
