@@ -5,8 +5,10 @@ goes to every task with the plan. Every window of every document is hashed and l
 a hit is verified by comparing the window's words, and then marks its words. Documents never
 leave their rows for the scan: only the windows that were hit are joined back to their items.
 
-The set's size is checked: above MAX_WINDOWS, windows that occur nowhere in the corpus are
-dropped first by a shuffled semi-join, and if still too many are left an error is raised.
+The set's size is checked. Above MAX_WINDOWS the query and the pipeline number the rows, shuffle
+(row, place, hash) of all their windows to the benchmark's and verify the words of what meets
+with the row. Callers that don't ask for it get the set or an error: windows that occur nowhere
+in the corpus are dropped by a shuffled semi-join, and if still too many are left it is raised.
 
 Defined results: null texts have no words and no hits; items without words have no window;
 items without an id count as one item of id null, which is left out of the list; repeated
@@ -56,10 +58,33 @@ def occurring(windows: DataFrame, docs: DataFrame) -> DataFrame:
     return windows if found is None else found
 
 
-def hit_positions(docs: DataFrame, windows: DataFrame, keep: list[str]) -> DataFrame:
+HITS = "array<struct<at: int, n: int>>"
+
+
+def joined_positions(docs: DataFrame, sets: DataFrame, keep: list[str]) -> DataFrame:
+    """hit_positions() for any number of windows: no task holds more than its share of them."""
+    rows = docs.select(*keep, words("text").alias("__words")).withColumn("__at_row", F.monotonically_increasing_id())
+    rows = written(docs.sparkSession, rows, "numbered")
+    met = None
+    for (n,) in sets.select("length").distinct().orderBy("length").collect():  # 1 to WINDOW
+        hashes = F.posexplode(F.expr(f"transform(sequence(1, size(__words) - {n - 1}), i -> xxhash64({window_at(n)}))")).alias("__pos", "hash")
+        at = rows.where(F.size("__words") >= n).select("__at_row", hashes)
+        part = at.join(sets.where(F.col("length") == n).select("hash", "window"), "hash").select("__at_row", F.struct((F.col("__pos") + 1).alias("at"), F.lit(n).alias("n"), "window").alias("met"))
+        met = part if met is None else met.unionByName(part)
+    if met is None:
+        return rows.drop("__at_row").withColumn("__hits", F.expr(f"cast(array() as {HITS})"))
+    met = met.groupBy("__at_row").agg(F.collect_list("met").alias("__met"))
+    hits = "transform(filter(__met, h -> array_join(slice(__words, h.at, h.n), ' ') = h.window), h -> struct(h.at as at, h.n as n))"
+    hits = F.coalesce(F.expr(hits).cast(HITS), F.expr(f"cast(array() as {HITS})"))
+    return rows.join(met, "__at_row", "left").withColumn("__hits", hits).drop("__at_row", "__met")
+
+
+def hit_positions(docs: DataFrame, windows: DataFrame, keep: list[str], shuffled: bool = False) -> DataFrame:
     """keep, __words, and __hits: (first word, length) of every verified window of each row."""
     sets = windows.select("length", "hash", "window").distinct()
-    if sets.count() > MAX_WINDOWS:
+    if (many := sets.count() > MAX_WINDOWS) and shuffled:
+        return joined_positions(docs, sets, keep)
+    if many:
         sets = written(docs.sparkSession, occurring(sets, docs), "occurring")
         if (n := sets.count()) > MAX_WINDOWS:
             raise ValueError(f"{n} benchmark windows occur in the corpus; at most {MAX_WINDOWS} go to every task")
@@ -76,7 +101,7 @@ def hit_positions(docs: DataFrame, windows: DataFrame, keep: list[str]) -> DataF
             f"if(size(__words) >= {length}, transform(filter(sequence(1, size(__words) - {length - 1}), "
             f"i -> xxhash64({at}) in ({hashes}) and array_join({at}, ' ') in ({texts})), i -> struct(i as at, {length} as n)), array())"
         )
-    none = "cast(array() as array<struct<at: int, n: int>>)"
+    none = f"cast(array() as {HITS})"
     return rows.withColumn("__hits", F.expr(f"concat({none}, {', '.join(parts)})" if parts else none))
 
 
@@ -84,16 +109,17 @@ def hit_positions(docs: DataFrame, windows: DataFrame, keep: list[str]) -> DataF
 HIT_WORDS = "array_distinct(flatten(transform(__hits, h -> sequence(h.at, h.at + h.n - 1))))"
 
 
-def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id",), clean: bool = False) -> DataFrame:
+def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id",), clean: bool = False, shuffled: bool = False) -> DataFrame:
     """keep, n_words, n_hit, n_items, items_sha256, contaminated; one row for each of docs.
 
     With `clean`, also __clean: the text without its hit words and what follows each of them,
-    null where nothing was hit. Items are joined to numbered rows that were written to the
+    null where nothing was hit. With `shuffled`, more than MAX_WINDOWS windows are joined by a
+    shuffle instead of an error. Items are joined to numbered rows that were written to the
     shared folder, so nothing is scanned twice and repeated rows stay apart.
     """
     windows = benchmark_windows(benchmark)
     columns = [*keep, "text"] if clean and "text" not in keep else [*keep]
-    rows = hit_positions(docs, windows, columns)
+    rows = hit_positions(docs, windows, columns, shuffled)
     hit = F.expr("size(__hits) > 0")
     out = [*keep, F.size("__words").cast("long").alias("n_words"), F.expr(f"cast(size({HIT_WORDS}) as bigint)").alias("n_hit")]
     out.append(F.expr("array_distinct(transform(__hits, h -> array_join(slice(__words, h.at, h.n), ' ')))").alias("__windows"))
@@ -104,7 +130,9 @@ def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, ke
         rows = rows.withColumn("__original", F.when(hit, original)).withColumn("__gaps", F.when(hit, gaps))
         out.append(F.when(hit, F.expr(f"concat(__gaps[0], array_join(transform({kept}, i -> concat(__original[i - 1], __gaps[i])), ''))")).alias("__clean"))
     scanned = written(spark, rows.select(*out).withColumn("__row", F.monotonically_increasing_id()), "scanned")
-    found = scanned.select("__row", F.explode("__windows").alias("window")).join(F.broadcast(windows.select("window", F.col("item_id").cast("string").alias("item"))), "window")
+    by_window = windows.select("window", F.col("item_id").cast("string").alias("item"))
+    by_window = F.broadcast(by_window) if windows.count() <= MAX_WINDOWS else by_window
+    found = scanned.select("__row", F.explode("__windows").alias("window")).join(by_window, "window")
     items = found.groupBy("__row").agg(F.array_sort(F.collect_set("item")).alias("__items"))
     joined = scanned.join(items, "__row", "left").withColumn("__items", F.coalesce("__items", F.expr("cast(array() as array<string>)")))
     end = ["__clean"] if clean else []
@@ -114,13 +142,13 @@ def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, ke
 def decontaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without contaminated documents; documents hit by one item alone lose the words that were hit."""
     names = docs.columns
-    checked = contamination(spark, docs, benchmark, tuple(names), clean=True).where(~F.col("contaminated"))
+    checked = contamination(spark, docs, benchmark, tuple(names), clean=True, shuffled=True).where(~F.col("contaminated"))
     checked = checked.withColumn("text", F.coalesce("__clean", "text"))
     return checked.select(*[F.length("text").cast("long").alias("n_chars") if c == "n_chars" else F.col(c) for c in names])
 
 
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contamination(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return contamination(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), shuffled=True)
 
 
 #: A window's place in a document is found by its words between blanks.

@@ -105,6 +105,18 @@ def test_contamination_is_exact(spark, docs_of, contaminated, monkeypatch):
         decontaminate.contamination(spark, docs_of(rows), benchmark)
 
 
+def test_any_number_of_windows_is_looked_up(spark, docs_of, contaminated, monkeypatch, tmp_path):
+    rows, items = contaminated
+    docs_of(rows).write.parquet(str(tmp_path / "documents.parquet"))
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    benchmark.write.parquet(str(tmp_path / "benchmark.parquet"))
+    few = {x.doc_id: x.text for x in decontaminate.decontaminated(spark, docs_of(rows), benchmark).collect()}
+    monkeypatch.setattr(decontaminate, "MAX_WINDOWS", 1)
+    found = decontaminate.op5_benchmark_decontamination(spark, str(tmp_path)).collect()
+    assert sorted(tuple(x) for x in found) == brute_contamination(rows, items)
+    assert {x.doc_id: x.text for x in decontaminate.decontaminated(spark, docs_of(rows), benchmark).collect()} == few
+
+
 def test_hit_words_are_cut_out(spark, docs_of, contaminated):
     rows, items = contaminated
     benchmark = spark.createDataFrame(items, "item_id long, text string")
