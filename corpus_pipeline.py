@@ -21,13 +21,13 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of lines that are near copies of each other the first stays.
+    """Of lines that are near copies of each other, or equal if they are short, the first stays.
 
     A document of which no text is left, as all of its lines stand in others, goes; one that
     was empty before stays.
     """
     before = F.coalesce(F.length(F.trim("text")), F.lit(0))
-    kept = lines.without_repeats(spark, docs.withColumn("__before", before))
+    kept = lines.without_repeats(spark, docs.withColumn("__before", before), least=1)
     return kept.where((F.col("__before") == 0) | (F.length(F.trim("text")) > 0)).select(*docs.columns)
 
 

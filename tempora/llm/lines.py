@@ -13,7 +13,11 @@ stays and the others go.
 Equal lines are one node, known by a 64-bit hash. A key that very many lines share is an
 equi-join key of two plain exchanges, whose large partitions the planner splits.
 
-Defined results: null texts have no lines and stay null; empty and short lines always stay;
+The SQL of the query leaves lines under LEAST out. A caller can let equal copies of shorter
+lines take part, by hash alone; the pipeline does for all that aren't empty.
+
+Defined results: null texts have no lines and stay null; empty lines always stay, and short
+lines unless asked for;
 rows with equal doc_id are one document; an empty table gives no row; other columns are
 carried along.
 """
@@ -40,9 +44,9 @@ def split_lines(text: str = "text") -> Column:
     return F.split(text, "\n", -1)
 
 
-def lines(docs: DataFrame) -> DataFrame:
-    """doc_id, line: every line that takes part."""
-    return docs.select("doc_id", F.explode(split_lines()).alias("line")).where(F.length("line") >= LEAST)
+def lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
+    """doc_id, line: every line of so many code points."""
+    return docs.select("doc_id", F.explode(split_lines()).alias("line")).where(F.length("line") >= least)
 
 
 def letter_counts(line: Column) -> Column:
@@ -122,10 +126,10 @@ def near_lines(spark: SparkSession, docs: DataFrame, edits: int = EDITS) -> Data
     return checked.where(F.levenshtein("la", "lb", edits) >= 0).select("a", "b")
 
 
-def line_classes(spark: SparkSession, docs: DataFrame, edits: int = EDITS) -> DataFrame:
+def line_classes(spark: SparkSession, docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
     """doc_id and `known`: a map from the hash of each of its repeated lines to its class and the first doc_id that has the class."""
     nodes = components(spark, near_lines(spark, docs, edits))
-    held = lines(docs).select("doc_id", line_hash(F.col("line")).alias("id"))
+    held = lines(docs, least).select("doc_id", line_hash(F.col("line")).alias("id"))
     counted = held.groupBy("id").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
     classed = counted.join(nodes, "id", "left").select("id", F.coalesce("component", "id").alias("class"), "first", "n")
     whole = classed.groupBy("class").agg(F.min("first").alias("first"), F.sum("n").alias("n")).where("n > 1")
@@ -143,17 +147,20 @@ def removed_lines(hashes: str = "__hashes") -> str:
     )
 
 
-def marked(spark: SparkSession, docs: DataFrame, columns: list[str], edits: int = EDITS) -> DataFrame:
-    """The columns of docs and __gone, the numbers (from 0) of each row's lines that go; null where none do."""
-    hashes = F.transform(split_lines(), lambda line: F.when(F.length(line) >= LEAST, line_hash(line)))
-    known = line_classes(spark, docs, edits)
+def marked(spark: SparkSession, docs: DataFrame, columns: list[str], edits: int = EDITS, least: int = LEAST) -> DataFrame:
+    """The columns of docs and __gone, the numbers (from 0) of each row's lines that go; null where none do.
+
+    Lines of `least` to LEAST - 1 code points have equal copies only.
+    """
+    hashes = F.transform(split_lines(), lambda line: F.when(F.length(line) >= least, line_hash(line)))
+    known = line_classes(spark, docs, edits, least)
     rows = docs.select(*columns, hashes.alias("__hashes")).join(known, F.col("doc_id") == F.col("__id"), "left")
     return rows.withColumn("__gone", F.when(F.col("known").isNotNull(), F.expr(removed_lines()))).drop("__id", "known")
 
 
-def without_repeats(spark: SparkSession, docs: DataFrame, edits: int = EDITS) -> DataFrame:
+def without_repeats(spark: SparkSession, docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
     """docs without the lines that go; all columns stay, n_chars (if there) follows the text."""
-    rows = marked(spark, docs, docs.columns, edits)
+    rows = marked(spark, docs, docs.columns, edits, least)
     kept = F.expr("array_join(transform(filter(transform(split(text, '\\n', -1), (l, i) -> struct(l, i)), x -> not array_contains(__gone, x.i)), x -> x.l), '\\n')")
     rows = rows.withColumn("text", F.when(F.size("__gone") > 0, kept).otherwise(F.col("text")))
     return rows.select(*[F.length("text").cast("long").alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns])

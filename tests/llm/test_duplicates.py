@@ -149,6 +149,15 @@ def test_lines_within_two_edits_go(spark, docs_of):
     assert got == {k: (t, None if t is None else len(t)) for k, t in want.items()}
 
 
+def test_the_pipeline_drops_equal_short_lines(spark, docs_of):
+    import corpus_pipeline
+
+    rows = [(1, "Les.\n\na line of more than twenty letters"), (2, "other\nLes.\n\nLes!"), (3, "And ornd.\nthe end\nAnd ornd."), (4, "Les."), (5, ""), (6, None)]
+    kept = {x.doc_id: x.text for x in corpus_pipeline.drop_repeated_lines(spark, docs_of(rows), "").collect()}
+    assert kept == {1: rows[0][1], 2: "other\n\nLes!", 3: "And ornd.\nthe end", 5: "", 6: None}
+    assert {x.doc_id: x.text for x in lines.without_repeats(spark, docs_of(rows)).collect()} == dict(rows)
+
+
 @pytest.mark.parametrize("edits", [1, 2, 3])
 def test_segments_of_near_lines_meet(edits):
     r = random.Random(edits)
