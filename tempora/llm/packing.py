@@ -23,12 +23,12 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from tempora.llm.common import by_blocks, table
+from tempora.llm.common import by_blocks, cached, only, table
 
 WINDOW, END_ID, BLOCK = 2048, 1, 1 << 18
 VOCABULARY = "byte_bpe_50k.json"
-#: Fragments of text whose ids a worker keeps; others are encoded again where they occur.
-KEPT = 600_000
+#: Fragments of text whose ids a worker keeps, of either kind; others are encoded again where they occur.
+KEPT = 200_000
 
 #: White space up to the next other character, and what follows it up to white space. The
 #: vocabulary's own splitting never joins a character to the white space after it, and looks
@@ -79,7 +79,7 @@ class Encoder:
         ranks = {bytes(letters[c] for c in token): i for token, i in held["model"]["vocab"].items() if token not in self.special}
         split = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
         self.merger = tiktoken.Encoding("fragments", pat_str=split, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_ordinary
-        self.after_space, self.alone = Kept(" ", self.fragment), Kept("", self.fragment)
+        self.after_space, self.alone = cached(Kept(" ", self.fragment)), cached(Kept("", self.fragment))
 
     def fragment(self, text: str) -> bytes:
         if PLAIN.fullmatch(text):
@@ -168,6 +168,7 @@ def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = encoder(vocabulary)
+        only(code.after_space, code.alone)
         context = TaskContext.get()
         base = (context.partitionId() if context else 0) << 32
         held: list[tuple[int | None, int, int, int, int]] = []

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tempora.llm.common import by_blocks, written
+from tempora.llm.common import by_blocks, cached, only, written
 from tempora.llm.components import components
 
 SHINGLE = 5
@@ -49,13 +49,17 @@ class WordHashes(dict):
     """64-bit hash of each word; forgets all when it grows large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 150_000:
             self.clear()
         out = self[word] = xxhash.xxh3_64_intdigest(word)
         return out
 
 
-_hashes = WordHashes()
+_hashes = cached(WordHashes())
+
+
+def keep_hashes() -> None:
+    only(_hashes)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -158,6 +162,7 @@ def described(docs: DataFrame, units: Units, sketch: bool) -> DataFrame:
     names, places = ["doc_id", "unit", "n_words", "size", "node", "counts"], ["first", "last"] if units.prints else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_hashes()
         counts = np.zeros(cells, np.uint32) if sketch else None
         for batch in batches:
             for block in by_blocks(batch, "text"):
