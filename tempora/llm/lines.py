@@ -1,25 +1,24 @@
 """Line dedup: a segment-partition edit-distance join, with built-in functions only.
 
-Lines of at least LEAST code points take part. Two lines are near copies if at most EDITS
-insertions, deletions and substitutions turn one into the other. A line is split into
-EDITS + 1 segments, of which a near copy must hold one unchanged: every line files its
-segments in an index, keyed by length, segment number and content, and probes it, for each
-length from its own less EDITS up to its own, with the substrings that can be that segment
-(only at the offsets that the edits left and right of it allow). Lines that meet under a key
-are compared by the counts of sixteen letters first, inside the join, and those left are
-verified by a banded edit distance. The first line of each component (by doc_id, then place)
-stays and the others go.
-
-Equal lines are one node, known by a 64-bit hash. A key that very many lines share is an
+Equal lines are copies, whatever their length; empty lines take no part. Two lines are near
+copies if so many insertions, deletions and substitutions turn one into the other as a TENTH
+of the shorter one's code points, EDITS at most. For each bound a line is split into one
+segment more than there are edits, of which a near copy must hold one unchanged: every line
+files its segments in an index, keyed by length, segment number and content, and probes it,
+for each length from its own less the edits up to its own, with the substrings that can be
+that segment (only at the offsets that the edits left and right of it allow). Lines that meet
+under a key are compared by a sketch of their content first, inside the join, and those left
+are verified by a banded bit-parallel edit distance: an automaton with one word of bits for
+each number of edits, a bit for each diagonal, that takes a character in a few operations.
+The first line of each component (by doc_id, then place) stays and the others go.
+
+Distinct lines are one node, known by a 64-bit hash. A key that very many lines share is an
 equi-join key of two plain exchanges, whose large partitions the planner splits.
 
-The SQL of the query leaves lines under LEAST out. A caller can let equal copies of shorter
-lines take part, by hash alone; the pipeline does for all that aren't empty.
-
-Defined results: null texts have no lines and stay null; empty lines always stay, and short
-lines unless asked for;
-rows with equal doc_id are one document; an empty table gives no row; other columns are
-carried along.
+Defined results: null texts have no lines and stay null; empty lines always stay; rows with
+equal doc_id are one document, whose lines at the same place with the same content are one
+line; rows without a doc_id are one document that comes last; an empty table gives no row;
+other columns are carried along, under any names.
 """
 
 from __future__ import annotations
@@ -27,12 +26,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempora.llm.common import table, written
+from tempora.llm.common import discard, fresh, quoted, table, written
 from tempora.llm.components import components
 
-EDITS, LEAST = 2, 20
+EDITS, TENTH = 2, 10
 #: Candidate lines whose hashes may go to every task; more are joined by a shuffle.
 BROADCAST_LINES = 500_000
+#: Lines up to so many code points are compared by their letters, longer ones by their words, those at the boundary by both.
+LETTERS_UP_TO = 64
 LETTERS = "etanioruhsdlcgmp"
 
 
@@ -44,9 +45,9 @@ def split_lines(text: str = "text") -> Column:
     return F.split(text, "\n", -1)
 
 
-def lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """doc_id, line: every line of so many code points."""
-    return docs.select("doc_id", F.explode(split_lines()).alias("line")).where(F.length("line") >= least)
+def lines(docs: DataFrame) -> DataFrame:
+    """doc_id, place (from 0) and line: every line that isn't empty."""
+    return docs.select("doc_id", F.posexplode(split_lines()).alias("place", "line")).where("line <> ''")
 
 
 def letter_counts(line: Column) -> Column:
@@ -69,6 +70,11 @@ def counts_apart(a: Column, b: Column) -> Column:
     return out
 
 
+def word_parities(line: str) -> Column:
+    """64 bits; each word between blanks turns one over. An edit changes, parts or joins words: three bits at most."""
+    return F.expr(f"aggregate(split({line}, ' ', -1), 0L, (held, w) -> held ^ shiftleft(1L, cast(xxhash64(w) & 63L as int)))")
+
+
 def segment_keys(edits: int) -> list[tuple[int, int, int, bool]]:
     """(length less the line's own, segment number, offset, filed in the index too) of all keys of a line."""
     out = []
@@ -79,111 +85,129 @@ def segment_keys(edits: int) -> list[tuple[int, int, int, bool]]:
     return out
 
 
-def filed(rows: DataFrame, edits: int = EDITS) -> DataFrame:
-    """key, id, counts, role (1: index, 2: probe, 3: both) for rows (line), once for equal lines.
+def filed(rows: DataFrame, most: int = EDITS) -> DataFrame:
+    """key, id, letters, words, role (1: index, 2: probe, 3: both) for rows (line) of distinct lines.
 
-    Equal lines are put together before their keys become rows, by an aggregate of numbers
-    only, so the copies of a common line meet neither each other nor anything else twice.
+    The bound on the edits is that of the length that a key is for, which is the shorter line's.
     """
-    rows = rows.select("line", F.length("line").alias("n"))
-    keys, roles = [], []
-    for less, i, offset, both in segment_keys(edits):
-        size = F.col("n") - less
-        base, longer = F.floor(size / (edits + 1)).cast("int"), size % (edits + 1)
-        short = (edits + 1) - longer  # so many segments have the base length, the rest one more
-        begin = (i - 1) * base + F.greatest(F.lit(0), F.lit(i - 1) - short)
-        length = base + F.when(F.lit(i - 1) >= short, 1).otherwise(0)
-        at = begin + 1 + offset
-        key = F.xxhash64(size, F.lit(i), F.substring("line", at, length))
-        inside = (at >= 1) & (at + length - 1 <= F.col("n")) & (size >= LEAST)
-        keys.append(F.when(inside, key).alias(f"k{len(keys)}"))
-        roles.append(3 if both else 2)
-    rows = rows.select(line_hash(F.col("line")).alias("id"), letter_counts(F.col("line")).alias("counts"), *keys)
-    once = rows.groupBy("id").agg(F.first("counts").alias("counts"), *[F.first(f"k{k}").alias(f"k{k}") for k in range(len(keys))])
-    each = F.array(*[F.struct(F.col(f"k{k}").alias("key"), F.lit(r).alias("role")) for k, r in enumerate(roles)])
-    return once.select("id", "counts", F.explode(each).alias("k")).where("k.key is not null").select("k.key", "id", "counts", "k.role")
-
-
-def candidates(keys: DataFrame, edits: int = EDITS) -> DataFrame:
-    """Pairs (a, b), a < b, of lines that share a key and aren't told apart by their letters."""
-    index = keys.where("role = 3").select("key", F.col("id").alias("a"), F.col("counts").alias("ca"))
-    probe = keys.select("key", F.col("id").alias("b"), F.col("counts").alias("cb"))
-    near = counts_apart(F.col("ca"), F.col("cb")) <= 2 * edits
-    pairs = index.join(probe.hint("merge"), (index["key"] == probe["key"]) & (F.col("a") != F.col("b")) & near)
+    n = F.col("n")
+    rows = rows.select("line", F.length("line").alias("n")).where(n >= TENTH)
+    keys = []
+    for edits in range(1, most + 1):
+        for less, i, offset, both in segment_keys(edits):
+            size = n - less
+            base, longer = F.floor(size / (edits + 1)).cast("int"), size % (edits + 1)
+            short = (edits + 1) - longer  # so many segments have the base length, the rest one more
+            at = (i - 1) * base + F.greatest(F.lit(0), F.lit(i - 1) - short) + 1 + offset
+            length = base + F.when(F.lit(i - 1) >= short, 1).otherwise(0)
+            inside = (size >= TENTH * edits) & (at >= 1) & (at + length - 1 <= n)
+            if edits < most:
+                inside = inside & (size < TENTH * (edits + 1))
+            key = F.xxhash64(size, F.lit(i), F.substring("line", at, length))
+            keys.append(F.when(inside, F.struct(key.alias("key"), F.lit(3 if both else 2).alias("role"))))
+    letters = F.when(n < LETTERS_UP_TO, letter_counts(F.col("line"))).alias("letters")
+    words = F.when(n >= LETTERS_UP_TO - most, word_parities("line")).alias("words")
+    rows = rows.select(line_hash(F.col("line")).alias("id"), letters, words, F.explode(F.array(*keys)).alias("k"))
+    return rows.where("k is not null").select("k.key", "id", "letters", "words", "k.role")
+
+
+def candidates(keys: DataFrame, most: int = EDITS) -> DataFrame:
+    """Pairs (a, b), a < b, of lines that share a key and aren't told apart by their sketches."""
+    index = keys.where("role = 3").select("key", F.col("id").alias("a"), F.col("letters").alias("la"), F.col("words").alias("wa"))
+    probe = keys.select("key", F.col("id").alias("b"), F.col("letters").alias("lb"), F.col("words").alias("wb"))
+    by_words = F.coalesce(F.bit_count(F.col("wa").bitwiseXOR(F.col("wb"))) <= 3 * most, F.lit(True))
+    by_letters = F.coalesce(counts_apart(F.col("la"), F.col("lb")) <= 2 * most, F.lit(True))
+    pairs = index.join(probe.hint("merge"), (index["key"] == probe["key"]) & (F.col("a") != F.col("b")) & by_words & by_letters)
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def near_lines(spark: SparkSession, docs: DataFrame, edits: int = EDITS) -> DataFrame:
+def within(a: str, b: str, most: int = EDITS) -> Column:
+    """The edit distance of two columns, null above `most`; their lengths must not be further apart.
+
+    r0, r1, ... are the cells of a column of the table that are reached with 0, 1, ... edits,
+    as bits: bit t is for the first t + j - most characters of a, after j characters of b.
+    """
+    band, full = 2 * most + 1, (1 << (2 * most + 1)) - 1
+    # which of the band's characters of a are the j-th of b, counted from 0
+    same = " | ".join(f"if(get(s.a, j + {t - most}) <=> c, {1 << t}, 0)" for t in range(band))
+    step = ["r.r0 & m"]
+    for d in range(1, most + 1):
+        step.append(f"((r.r{d} & m) | r.r{d - 1} | shiftrightunsigned(r.r{d - 1}, 1) | shiftleft({step[-1]}, 1)) & {full}")
+    start = ", ".join(f"'r{d}', {sum(1 << (most + i) for i in range(d + 1))}" for d in range(most + 1))
+    then = ", ".join(f"'r{d}', {s}" for d, s in enumerate(step))
+    end = " ".join(f"when (shiftright(r.r{d}, size(s.a) - size(s.b) + {most}) & 1) = 1 then {d}" for d in range(most + 1))
+    walk = f"aggregate(transform(s.b, (c, j) -> {same}), named_struct({start}), (r, m) -> named_struct({then}), r -> case {end} end)"
+    # bound once: a column would be split again wherever it is named
+    return F.expr(f"transform(array(named_struct('a', split({a}, ''), 'b', split({b}, ''))), s -> {walk})[0]")
+
+
+def near_lines(spark: SparkSession, docs: DataFrame, most: int = EDITS) -> DataFrame:
     """Links (a, b) between the hashes of near copies."""
-    found = lines(docs)
-    pairs = written(spark, candidates(filed(found, edits), edits), "pairs")
+    found = lines(docs).select("line")
+    pairs = written(spark, candidates(filed(found.distinct(), most), most), "pairs")
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_LINES else ids
-    texts = found.select(line_hash(F.col("line")).alias("id"), "line").join(ids, "id", "left_semi").groupBy("id").agg(F.first("line").alias("line"))
+    texts = found.withColumn("id", line_hash(F.col("line"))).join(ids, "id", "left_semi").distinct()
     texts = written(spark, texts, "texts")
     a, b = texts.select(F.col("id").alias("a"), F.col("line").alias("la")), texts.select(F.col("id").alias("b"), F.col("line").alias("lb"))
-    checked = pairs.join(a, "a").join(b, "b")
-    return checked.where(F.levenshtein("la", "lb", edits) >= 0).select("a", "b")
+    allowed = F.least(F.lit(most), F.floor(F.least(F.length("la"), F.length("lb")) / TENTH))
+    links = written(spark, pairs.join(a, "a").join(b, "b").where(within("la", "lb", most) <= allowed).select("a", "b"), "links")
+    discard(pairs)
+    discard(texts)
+    return links
 
 
-def line_classes(spark: SparkSession, docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
-    """doc_id and `known`: a map from the hash of each of its repeated lines to its class and the first doc_id that has the class."""
-    nodes = components(spark, near_lines(spark, docs, edits))
-    held = lines(docs, least).select("doc_id", line_hash(F.col("line")).alias("id"))
+def removed(spark: SparkSession, docs: DataFrame, most: int = EDITS) -> DataFrame:
+    """doc_id and `gone`: (place, id) of its lines that go."""
+    nodes = components(spark, near_lines(spark, docs, most))
+    held = lines(docs).select("doc_id", "place", line_hash(F.col("line")).alias("id"))
     counted = held.groupBy("id").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
     classed = counted.join(nodes, "id", "left").select("id", F.coalesce("component", "id").alias("class"), "first", "n")
     whole = classed.groupBy("class").agg(F.min("first").alias("first"), F.sum("n").alias("n")).where("n > 1")
-    repeated = written(spark, classed.select("id", "class").join(whole.select("class", "first"), "class"), "repeated")
-    mine = held.join(repeated, "id").groupBy("doc_id").agg(F.collect_set(F.struct("id", F.struct("class", "first"))).alias("known"))
-    return mine.select(F.col("doc_id").alias("__id"), F.map_from_entries("known").alias("known"))
+    repeated = classed.select("id", "class").join(whole.select("class", "first"), "class")
+    mine = written(spark, held.join(repeated, "id").select("doc_id", "place", "id", "class", F.col("doc_id").eqNullSafe(F.col("first")).alias("own")), "repeated")
+    # within its first document, a class's first place stays
+    stays = mine.where("own").groupBy(F.col("class").alias("c")).agg(F.min("place").alias("stays"))
+    gone = mine.join(stays, F.col("class") == F.col("c")).where("not own or place <> stays")
+    return gone.groupBy("doc_id").agg(F.collect_set(F.struct("place", "id")).alias("gone"))
 
 
-def removed_lines(hashes: str = "__hashes") -> str:
-    """SQL for the numbers of the lines that go, from a row's line hashes and `known`."""
-    classes = f"transform({hashes}, h -> known[h].class)"
-    return (
-        f"transform(filter(zip_with(transform({hashes}, (h, i) -> struct(i, known[h] as k)), {classes}, (x, c) -> struct(x.i, x.k, c)), "
-        f"x -> x.k is not null and (x.k.first <> doc_id or array_position({classes}, x.c) <= x.i)), x -> x.i)"
-    )
-
-
-def marked(spark: SparkSession, docs: DataFrame, columns: list[str], edits: int = EDITS, least: int = LEAST) -> DataFrame:
-    """The columns of docs and __gone, the numbers (from 0) of each row's lines that go; null where none do.
-
-    Lines of `least` to LEAST - 1 code points have equal copies only.
-    """
-    hashes = F.transform(split_lines(), lambda line: F.when(F.length(line) >= least, line_hash(line)))
-    known = line_classes(spark, docs, edits, least)
-    rows = docs.select(*columns, hashes.alias("__hashes")).join(known, F.col("doc_id") == F.col("__id"), "left")
-    return rows.withColumn("__gone", F.when(F.col("known").isNotNull(), F.expr(removed_lines()))).drop("__id", "known")
+def marked(spark: SparkSession, docs: DataFrame, columns: list[str], into: str = "places", most: int = EDITS) -> DataFrame:
+    """The columns of docs and, under the name `into`, the places (from 0) of each row's lines that go, in order."""
+    own, found, hashes = (fresh([*docs.columns, into], n) for n in ("own", "gone", "hashes"))
+    gone = removed(spark, docs, most).toDF(own, found)
+    rows = docs.withColumn(hashes, F.transform(split_lines(), line_hash)).join(gone, F.col("doc_id").eqNullSafe(F.col(own)), "left")
+    # rows with equal doc_id share the list: only lines of that content go
+    places = f"array_sort(transform(filter({found}, g -> get({hashes}, g.place) <=> g.id), g -> g.place))"
+    return rows.select(*quoted(columns), F.coalesce(F.expr(places), F.expr("cast(array() as array<int>)")).alias(into))
 
 
-def without_repeats(spark: SparkSession, docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
+def without_repeats(spark: SparkSession, docs: DataFrame, most: int = EDITS) -> DataFrame:
     """docs without the lines that go; all columns stay, n_chars (if there) follows the text."""
-    rows = marked(spark, docs, docs.columns, edits, least)
-    kept = F.expr("array_join(transform(filter(transform(split(text, '\\n', -1), (l, i) -> struct(l, i)), x -> not array_contains(__gone, x.i)), x -> x.l), '\\n')")
-    rows = rows.withColumn("text", F.when(F.size("__gone") > 0, kept).otherwise(F.col("text")))
-    return rows.select(*[F.length("text").cast("long").alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns])
+    into = fresh(docs.columns, "places")
+    rows = marked(spark, docs, docs.columns, into, most)
+    kept = F.expr(f"transform(array(split(text, '\\n', -1)), lines -> array_join(transform(array_except(sequence(0, size(lines) - 1), {into}), p -> lines[p]), '\\n'))[0]")
+    rows = rows.withColumn("text", F.when(F.size(into) > 0, kept).otherwise(F.col("text")))
+    return rows.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else q for c, q in zip(docs.columns, quoted(docs.columns), strict=True)])
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    gone = F.coalesce("__gone", F.array().cast("array<int>"))
-    return marked(spark, docs, ["doc_id"]).select(
+    return marked(spark, docs, docs.columns).select(
         "doc_id",
-        F.coalesce(F.size("__hashes"), F.lit(0)).cast("long").alias("n_lines"),
-        F.size(gone).cast("long").alias("n_removed"),
-        F.array_join(gone.cast("array<string>"), ",").alias("removed_lines"),
+        F.coalesce(F.size(split_lines()), F.lit(0)).cast("long").alias("n_lines"),
+        F.size("places").cast("long").alias("n_removed"),
+        F.array_join(F.col("places").cast("array<string>"), ",").alias("removed_lines"),
     )
 
 
 OP10_SQL = f"""
 WITH RECURSIVE l AS (SELECT doc_id, i, lines[i + 1] AS line FROM (SELECT doc_id, lines, unnest(range(len(lines))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents))),
-u AS (SELECT DISTINCT line, length(line) AS n FROM l WHERE length(line) >= {LEAST}),
-links AS (SELECT a.line AS a, b.line AS b FROM u a JOIN u b ON b.n BETWEEN a.n - {EDITS} AND a.n + {EDITS} WHERE a.line <> b.line AND levenshtein(a.line, b.line) <= {EDITS}),
+u AS (SELECT DISTINCT line, length(line) AS n FROM l WHERE length(line) >= {TENTH}),
+links AS (SELECT a.line AS a, b.line AS b FROM u a JOIN u b ON b.n BETWEEN a.n - {EDITS} AND a.n + {EDITS} WHERE a.line <> b.line AND levenshtein(a.line, b.line) <= least({EDITS}, least(a.n, b.n) // {TENTH})),
 reach AS (SELECT a AS x, a AS y FROM links UNION SELECT reach.x, links.b FROM reach JOIN links ON reach.y = links.a),
 class AS (SELECT x, min(y) AS c FROM reach GROUP BY x),
-placed AS (SELECT doc_id, i, row_number() OVER (PARTITION BY coalesce(c, line) ORDER BY doc_id, i) > 1 AS gone FROM l LEFT JOIN class ON line = x WHERE length(line) >= {LEAST}),
+placed AS (SELECT doc_id, i, row_number() OVER (PARTITION BY coalesce(c, line) ORDER BY doc_id, i) > 1 AS gone FROM l LEFT JOIN class ON line = x WHERE line <> ''),
 g AS (SELECT doc_id, count(*) AS n, string_agg(i::VARCHAR, ',' ORDER BY i) AS s FROM placed WHERE gone GROUP BY doc_id)
 SELECT d.doc_id, coalesce(len(string_split(d.text, chr(10))), 0)::BIGINT AS n_lines, coalesce(g.n, 0)::BIGINT AS n_removed, coalesce(g.s, '') AS removed_lines
 FROM documents d LEFT JOIN g ON d.doc_id = g.doc_id

@@ -127,26 +127,71 @@ def changed(r: random.Random, text: str) -> str:
     return "".join(x)
 
 
-def test_lines_within_two_edits_go(spark, docs_of):
+def near_lines(a: str, b: str) -> bool:
+    bound = min(lines.EDITS, min(len(a), len(b)) // lines.TENTH)
+    return a == b or abs(len(a) - len(b)) <= bound and edit_distance(a, b) <= bound
+
+
+@pytest.mark.parametrize("letters_up_to", [lines.LETTERS_UP_TO, 22, 0])
+def test_near_lines_go(spark, docs_of, monkeypatch, letters_up_to):
+    monkeypatch.setattr(lines, "LETTERS_UP_TO", letters_up_to)
     r = random.Random(3)
-    base = ["".join(r.choice("abcé ") for _ in range(r.randint(18, 26))) for _ in range(40)]
-    rows = [(k, "\n".join(changed(r, r.choice(base)) for _ in range(r.randint(0, 6)))) for k in range(200)] + [(401, None), (402, ""), (403, "short\nshort\n\n")]
-    known = sorted({x for _, t in rows if t for x in t.split("\n") if len(x) >= lines.LEAST})
-    root = grouped(len(known), lambda i, j: abs(len(known[i]) - len(known[j])) <= 2 and edit_distance(known[i], known[j]) <= 2)
+    base = ["".join(r.choice("abcé ") for _ in range(r.randint(3, 26))) for _ in range(40)]
+    rows = [(k, "\n".join(changed(r, r.choice(base)) for _ in range(r.randint(0, 6)))) for k in range(200)] + [(401, None), (402, ""), (403, "short\nshort\n\n"), (None, "short\nnew")]
+    known = sorted({x for _, t in rows if t for x in t.split("\n") if x})
+    root = grouped(len(known), lambda i, j: near_lines(known[i], known[j]))
     group = dict(zip(known, root, strict=True))
     seen, want = set(), {}
     for doc_id, text in rows:
         kept = []
         for x in (text or "").split("\n"):
-            if len(x) < lines.LEAST or group[x] not in seen:
+            if not x or group[x] not in seen:
                 kept.append(x)
             seen.add(group.get(x, x))
         want[doc_id] = None if text is None else "\n".join(kept)
-    df = docs_of(rows).selectExpr("doc_id", "text", "'k' as key", "length(text) as n_chars", "1 as class")
+    df = docs_of(rows).selectExpr("doc_id", "text", "'k' as key", "length(text) as n_chars", "1 as class", "2 as places", "3 as gone", "4 as `own.`")
     found = lines.without_repeats(spark, df)
     assert found.columns == df.columns
     got = {x.doc_id: (x.text, x.n_chars) for x in found.collect()}
     assert got == {k: (t, None if t is None else len(t)) for k, t in want.items()}
+    assert {x.doc_id: x.places for x in found.collect()} == dict.fromkeys(want, 2)
+
+
+def test_rows_that_share_a_doc_id_lose_only_their_own_lines(spark, docs_of):
+    rows = [(1, "a line that stands twice\nalone in one"), (5, "a line that stands twice\nalone in five"), (5, "unique text\nthat stays"), (None, "alone in one"), (None, "of none")]
+    got = sorted(map(tuple, lines.without_repeats(spark, docs_of(rows)).collect()), key=str)
+    assert got == sorted([(1, rows[0][1]), (5, "alone in five"), (5, rows[2][1]), (None, ""), (None, "of none")], key=str)
+
+
+def test_lines_of_any_length_and_no_rows(spark, docs_of):
+    long_ = "".join(random.Random(k).choice("abc ") for k in range(30_000))
+    rows = [(1, long_), (2, long_[:17] + "zz" + long_[17:]), (3, long_[:17] + "zzz" + long_[17:]), (4, "\n".join(["x"] * 5000))]
+    got = {x.doc_id: x.text for x in lines.without_repeats(spark, docs_of(rows)).collect()}
+    # the third is one edit from the second
+    assert got == {1: long_, 2: "", 3: "", 4: "x"}
+    assert lines.without_repeats(spark, docs_of([])).collect() == []
+
+
+@pytest.mark.parametrize("most", [1, 2, 3])
+def test_bit_parallel_distances_are_exact(spark, most):
+    from pyspark.sql import functions as F
+
+    r = random.Random(most)
+    pairs = [(a, changed(r, a)) for a in ("".join(r.choice("abé😀") for _ in range(r.randint(5, 14))) for _ in range(300))]
+    pairs = [(a, b) for a, b in pairs if abs(len(a) - len(b)) <= most and a and b]
+    df = spark.createDataFrame(pairs, "a string, b string").select("a", "b", lines.within("a", "b", most).alias("d"), F.levenshtein("a", "b").alias("l"))
+    for x in df.collect():
+        want = edit_distance(x.a, x.b)
+        assert x.l == want and x.d == (want if want <= most else None)
+
+
+def test_words_tell_at_most_three_bits_an_edit(spark):
+    from pyspark.sql import functions as F
+
+    r = random.Random(4)
+    pairs = [(a, changed(r, a)) for a in (" ".join("".join(r.choice("abcd") for _ in range(r.randint(0, 3))) for _ in range(r.randint(1, 30))) + "a" for _ in range(300))]
+    df = spark.createDataFrame(pairs, "a string, b string").select("a", "b", F.bit_count(lines.word_parities("a").bitwiseXOR(lines.word_parities("b"))).alias("n"))
+    assert all(x.n <= 3 * edit_distance(x.a, x.b) for x in df.collect())
 
 
 def test_the_pipeline_drops_equal_short_lines(spark, docs_of):
@@ -155,7 +200,6 @@ def test_the_pipeline_drops_equal_short_lines(spark, docs_of):
     rows = [(1, "Les.\n\na line of more than twenty letters"), (2, "other\nLes.\n\nLes!"), (3, "And ornd.\nthe end\nAnd ornd."), (4, "Les."), (5, ""), (6, None)]
     kept = {x.doc_id: x.text for x in corpus_pipeline.drop_repeated_lines(spark, docs_of(rows), "").collect()}
     assert kept == {1: rows[0][1], 2: "other\n\nLes!", 3: "And ornd.\nthe end", 5: "", 6: None}
-    assert {x.doc_id: x.text for x in lines.without_repeats(spark, docs_of(rows)).collect()} == dict(rows)
 
 
 @pytest.mark.parametrize("edits", [1, 2, 3])
