@@ -6,9 +6,9 @@ of the shorter one's code points, EDITS at most. For each bound a line is split
 segment more than there are edits, of which a near copy must hold one unchanged: every line
 files its segments in an index, keyed by length, segment number and content, and probes it,
 for each length from its own less the edits up to its own, with the substrings that can be
-that segment (only at the offsets that the edits left and right of it allow). Lines that meet
-under a key are compared by a sketch of their content first, inside the join, and those left
-are verified by a banded bit-parallel edit distance: an automaton with one word of bits for
+that segment (only at the offsets that the edits left and right of it allow). Keys that
+one line has alone are counted out first. The lines under the others are compared by sketches
+of their letters and words, inside the join, and the pairs left are verified by a banded bit-parallel edit distance: an automaton with one word of bits for
 each number of edits, a bit for each diagonal, that takes a character in a few operations.
 The first line of each component (by doc_id, then place) stays and the others go.
 
@@ -30,10 +30,8 @@ from tempora.llm.common import discard, fresh, quoted, table, written
 from tempora.llm.components import components
 
 EDITS, TENTH = 2, 10
-#: Candidate lines whose hashes may go to every task; more are joined by a shuffle.
-BROADCAST_LINES = 500_000
-#: Lines up to so many code points are compared by their letters, longer ones by their words, those at the boundary by both.
-LETTERS_UP_TO = 64
+#: Hashes that may go to every task; more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 LETTERS = "etanioruhsdlcgmp"
 
 
@@ -86,37 +84,49 @@ def segment_keys(edits: int) -> list[tuple[int, int, int, bool]]:
 
 
 def filed(rows: DataFrame, most: int = EDITS) -> DataFrame:
-    """key, id, letters, words, role (1: index, 2: probe, 3: both) for rows (line) of distinct lines.
+    """key, id, role (1: index, 2: probe, 3: both) for rows (line); copies of a line give equal rows.
 
     The bound on the edits is that of the length that a key is for, which is the shorter line's.
     """
-    n = F.col("n")
-    rows = rows.select("line", F.length("line").alias("n")).where(n >= TENTH)
-    keys = []
-    for edits in range(1, most + 1):
-        for less, i, offset, both in segment_keys(edits):
-            size = n - less
-            base, longer = F.floor(size / (edits + 1)).cast("int"), size % (edits + 1)
-            short = (edits + 1) - longer  # so many segments have the base length, the rest one more
-            at = (i - 1) * base + F.greatest(F.lit(0), F.lit(i - 1) - short) + 1 + offset
-            length = base + F.when(F.lit(i - 1) >= short, 1).otherwise(0)
-            inside = (size >= TENTH * edits) & (at >= 1) & (at + length - 1 <= n)
-            if edits < most:
-                inside = inside & (size < TENTH * (edits + 1))
-            key = F.xxhash64(size, F.lit(i), F.substring("line", at, length))
-            keys.append(F.when(inside, F.struct(key.alias("key"), F.lit(3 if both else 2).alias("role"))))
-    letters = F.when(n < LETTERS_UP_TO, letter_counts(F.col("line"))).alias("letters")
-    words = F.when(n >= LETTERS_UP_TO - most, word_parities("line")).alias("words")
-    rows = rows.select(line_hash(F.col("line")).alias("id"), letters, words, F.explode(F.array(*keys)).alias("k"))
-    return rows.where("k is not null").select("k.key", "id", "letters", "words", "k.role")
-
-
-def candidates(keys: DataFrame, most: int = EDITS) -> DataFrame:
-    """Pairs (a, b), a < b, of lines that share a key and aren't told apart by their sketches."""
+    each = [f"named_struct('edits', {e}, 'less', {less}, 'i', {i}, 'offset', {o}, 'role', {3 if both else 2})" for e in range(1, most + 1) for less, i, o, both in segment_keys(e)]
+    keys = F.explode(F.expr(f"array({', '.join(each)})")).alias("k")
+    rows = rows.select("line", F.length("line").alias("n"), line_hash(F.col("line")).alias("id")).where(F.col("n") >= TENTH).select("line", "n", "id", keys)
+    size, parts = F.col("n") - F.col("k.less"), F.col("k.edits") + 1
+    base, ahead = F.floor(size / parts).cast("int"), F.col("k.i") - 1
+    short = parts - size % parts  # so many segments have the base length, the rest one more
+    at = ahead * base + F.greatest(F.lit(0), ahead - short) + 1 + F.col("k.offset")
+    length = base + (ahead >= short).cast("int")
+    bound = F.least(F.lit(most), F.floor(size / TENTH)) == F.col("k.edits")
+    key = F.xxhash64(size, "k.i", F.substring("line", at, length)).alias("key")
+    return rows.where(bound & (at >= 1) & (at + length - 1 <= F.col("n"))).select(key, "id", "k.role")
+
+
+def met(keys: DataFrame) -> DataFrame:
+    """The rows of the few keys that an indexed line shares with another; each once.
+
+    Most keys are one line's alone. They are counted out by an aggregate with partial sums,
+    so that copies of a line, and nothing but numbers, are all that it moves.
+    """
+    spark = keys.sparkSession
+    ids = keys.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.max("role").alias("role"))
+    shared = written(spark, ids.where("least <> most and role = 3").select("key"), "shared")
+    rows = written(spark, keys.join(small(shared), "key", "left_semi").distinct(), "met")
+    discard(shared)
+    return rows
+
+
+def small(rows: DataFrame) -> DataFrame:
+    """rows, sent to every task if they are few; otherwise the planner chooses."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
+def candidates(keys: DataFrame, sketches: DataFrame, most: int = EDITS) -> DataFrame:
+    """Pairs (a, b), a < b, of lines that share a key and aren't told apart by their sketches (id, letters, words)."""
+    keys = keys.join(sketches, "id")
     index = keys.where("role = 3").select("key", F.col("id").alias("a"), F.col("letters").alias("la"), F.col("words").alias("wa"))
     probe = keys.select("key", F.col("id").alias("b"), F.col("letters").alias("lb"), F.col("words").alias("wb"))
-    by_words = F.coalesce(F.bit_count(F.col("wa").bitwiseXOR(F.col("wb"))) <= 3 * most, F.lit(True))
-    by_letters = F.coalesce(counts_apart(F.col("la"), F.col("lb")) <= 2 * most, F.lit(True))
+    by_words = F.bit_count(F.col("wa").bitwiseXOR(F.col("wb"))) <= 3 * most
+    by_letters = counts_apart(F.col("la"), F.col("lb")) <= 2 * most
     pairs = index.join(probe.hint("merge"), (index["key"] == probe["key"]) & (F.col("a") != F.col("b")) & by_words & by_letters)
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -144,15 +154,14 @@ def within(a: str, b: str, most: int = EDITS) -> Column:
 def near_lines(spark: SparkSession, docs: DataFrame, most: int = EDITS) -> DataFrame:
     """Links (a, b) between the hashes of near copies."""
     found = lines(docs).select("line")
-    pairs = written(spark, candidates(filed(found.distinct(), most), most), "pairs")
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_LINES else ids
-    texts = found.withColumn("id", line_hash(F.col("line"))).join(ids, "id", "left_semi").distinct()
-    texts = written(spark, texts, "texts")
+    keys = met(filed(found, most))
+    texts = found.withColumn("id", line_hash(F.col("line"))).join(small(keys.select("id").distinct()), "id", "left_semi").distinct()
+    texts = written(spark, texts.withColumns({"letters": letter_counts(F.col("line")), "words": word_parities("line")}), "texts")
+    pairs = candidates(keys, texts.select("id", "letters", "words"), most)
     a, b = texts.select(F.col("id").alias("a"), F.col("line").alias("la")), texts.select(F.col("id").alias("b"), F.col("line").alias("lb"))
     allowed = F.least(F.lit(most), F.floor(F.least(F.length("la"), F.length("lb")) / TENTH))
     links = written(spark, pairs.join(a, "a").join(b, "b").where(within("la", "lb", most) <= allowed).select("a", "b"), "links")
-    discard(pairs)
+    discard(keys)
     discard(texts)
     return links
 
@@ -166,9 +175,11 @@ def removed(spark: SparkSession, docs: DataFrame, most: int = EDITS) -> DataFram
     whole = classed.groupBy("class").agg(F.min("first").alias("first"), F.sum("n").alias("n")).where("n > 1")
     repeated = classed.select("id", "class").join(whole.select("class", "first"), "class")
     mine = written(spark, held.join(repeated, "id").select("doc_id", "place", "id", "class", F.col("doc_id").eqNullSafe(F.col("first")).alias("own")), "repeated")
-    # within its first document, a class's first place stays
-    stays = mine.where("own").groupBy(F.col("class").alias("c")).agg(F.min("place").alias("stays"))
-    gone = mine.join(stays, F.col("class") == F.col("c")).where("not own or place <> stays")
+    # of a class's places in its first document the first stays; all other documents' go
+    own = mine.where("own")
+    stays = own.groupBy(F.col("class").alias("c")).agg(F.min("place").alias("stays"))
+    again = own.join(stays, F.col("class") == F.col("c")).where("place <> stays").select("doc_id", "place", "id")
+    gone = mine.where("not own").select("doc_id", "place", "id").unionByName(again)
     return gone.groupBy("doc_id").agg(F.collect_set(F.struct("place", "id")).alias("gone"))
 
 

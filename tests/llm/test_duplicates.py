@@ -132,9 +132,9 @@ def near_lines(a: str, b: str) -> bool:
     return a == b or abs(len(a) - len(b)) <= bound and edit_distance(a, b) <= bound
 
 
-@pytest.mark.parametrize("letters_up_to", [lines.LETTERS_UP_TO, 22, 0])
-def test_near_lines_go(spark, docs_of, monkeypatch, letters_up_to):
-    monkeypatch.setattr(lines, "LETTERS_UP_TO", letters_up_to)
+@pytest.mark.parametrize("broadcast_rows", [lines.BROADCAST_ROWS, 0])
+def test_near_lines_go(spark, docs_of, monkeypatch, broadcast_rows):
+    monkeypatch.setattr(lines, "BROADCAST_ROWS", broadcast_rows)
     r = random.Random(3)
     base = ["".join(r.choice("abcé ") for _ in range(r.randint(3, 26))) for _ in range(40)]
     rows = [(k, "\n".join(changed(r, r.choice(base)) for _ in range(r.randint(0, 6)))) for k in range(200)] + [(401, None), (402, ""), (403, "short\nshort\n\n"), (None, "short\nnew")]
