@@ -5,6 +5,9 @@ smaller ones, are attached to the least node that it sees. Each round writes its
 the shared folder, so a lost executor costs one round at most; nothing but counters comes to
 the driver. A node with very many neighbours is handled by an aggregate with partial sums
 and a join that the planner can split.
+
+Defined results: self links and repeated links change nothing; nodes are known by their
+numbers alone; no links give no rows; links are rows (a, b), other columns are not read.
 """
 
 from __future__ import annotations
@@ -12,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempora.llm.common import written
+from tempora.llm.common import discard, written
 
 
 def _toward_least(edges: DataFrame, with_self: bool) -> DataFrame:
@@ -25,7 +28,7 @@ def _toward_least(edges: DataFrame, with_self: bool) -> DataFrame:
 
 
 def components(spark: SparkSession, links: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(id, component) of every node of links (a, b): component is its least node. Self links and repeats are allowed."""
+    """(id, component) of every node of links (a, b): component is its least node."""
     edges = written(spark, links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = None
     for _ in range(max_rounds):
@@ -34,7 +37,8 @@ def components(spark: SparkSession, links: DataFrame, max_rounds: int = 60) -> D
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        edges = written(spark, _toward_least(large, True), "edges")
+        old, edges = edges, written(spark, _toward_least(large, True), "edges")
+        discard(old)
         now = tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
         if now == before:
             break

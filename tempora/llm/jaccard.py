@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempora.llm.common import table
+from tempora.llm.common import table, written
 from tempora.llm.setjoin import Keys, Sets, Units, clustered, mixed, whole
 
 
@@ -99,10 +99,14 @@ def linked_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     units, classes = clustered(spark, docs, Units(whole), heavy_light, sketch=True)
     rows = units.join(classes, "node", "left").withColumn("class", F.coalesce("component", "node"))
-    least = rows.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("doc_id").alias("component_id"))
-    # rows without words have no class: a class of their own keeps them from meeting in one task
-    rows = rows.withColumn("class", F.coalesce("class", F.xxhash64("doc_id")))
-    return rows.join(least, "class", "left").select("doc_id", F.col("size").cast("long").alias("n_shingles"), F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    least = rows.where(F.col("component").isNotNull()).groupBy("class").agg(F.min("doc_id").alias("component_id"))
+    copies = rows.where(F.col("component").isNull() & F.col("class").isNotNull()).groupBy("class").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # written, so that the join has two plain exchanges, of which the planner can split a hot class
+    least = written(spark, least.unionByName(copies), "least")
+    # rows that are alone in their class, or have none, keep to themselves under a key of their own
+    rows = rows.withColumn("class", F.coalesce("class", F.xxhash64("doc_id", "digest")))
+    own = F.when((F.col("size") > 0) & F.col("component_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
+    return rows.join(least, "class", "left").select("doc_id", F.col("size").cast("long").alias("n_shingles"), own.alias("component_id"))
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

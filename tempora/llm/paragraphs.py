@@ -2,7 +2,8 @@
 
 A paragraph is a line; lines of more than LONG words are cut at sentence ends, at places that
 depend on the words before the cut alone, so that a passage is cut alike wherever it stands.
-Paragraphs of fewer than SHORT words don't take part. Two paragraphs are near copies if
+A passage has PASSAGE words at least: paragraphs of fewer are none by themselves (repeated
+lines are line dedup's), but their words take part in the runs below. Two paragraphs are near copies if
 their sets of 5-word shingles have a Jaccard similarity of 0.75 or more; the bands are tuned
 so that such a pair collides with probability RECALL at least. Colliding paragraphs are
 verified exactly, the first paragraph of each component (by doc_id, then place) stays, and
@@ -20,7 +21,8 @@ a run are in no fingerprint and stay.
 Their paragraph is -1 less the number of their first word in the text.
 
 Defined results: null and empty texts have no paragraphs; equal paragraphs of one document
-are repeats too; repeated rows are repeats of each other; an empty table gives no row.
+are repeats too; rows that are equal in doc_id and text are one, which keeps its first passages
+in each; an empty table gives no row; columns other than doc_id and text are carried along.
 """
 
 from __future__ import annotations
@@ -33,11 +35,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempora.llm.common import by_blocks, table, written
+from tempora.llm.common import by_blocks, fresh, quoted, table, written
 from tempora.llm.setjoin import PERCENT, Keys, Parts, Sets, Units, _hashes, classes_of, described, mixed
 
-SHORT, LONG, RECALL = 20, 80, 0.999
 PASSAGE, AHEAD = 40, 12
+LONG, RECALL = 80, 0.999
 LEAST_RUN = PASSAGE + AHEAD - 1
 SENTENCE_END = re.compile(rb"[.!?](?=[ \t\r\x0b\x0c]|\Z)")
 NOT_BLANK = re.compile(rb"[^ \t\r\x0b\x0c]+")
@@ -140,17 +142,19 @@ def banded(_: np.ndarray | None) -> Keys:
 
 
 def repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """Every paragraph that has near copies: doc_id, paragraph, n_words, the class's first (class_doc_id, class_paragraph), and whether it goes.
+    """Every paragraph that has near copies: doc_id, digest (of the row's text), paragraph, n_words, the class's first (class_doc_id, class_paragraph), and whether it goes.
 
     So too the repeated passages outside removed paragraphs, with paragraph below 0.
     """
-    kinds = Units(numbered, SHORT, fingerprints)
+    kinds = Units(numbered, PASSAGE, fingerprints)
     described_ = written(spark, described(docs, kinds, False), "units")
     units, classes = classes_of(spark, docs, described_, kinds, banded, sketch=False)
     rows = units.join(classes, "node", "left").withColumn("class", F.coalesce("component", "node"))
     first = rows.groupBy("class").agg(F.min(F.struct("doc_id", "unit")).alias("first"), F.count("*").alias("copies")).where("copies > 1")
-    whole = rows.join(first, "class").select(
+    # written, so that the join has two plain exchanges, of which the planner can split a hot class
+    whole = rows.join(written(spark, first, "first"), "class").select(
         "doc_id",
+        "digest",
         F.col("unit").alias("paragraph"),
         "n_words",
         F.col("first.doc_id").alias("class_doc_id"),
@@ -163,14 +167,16 @@ def repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 def repeated_passages(spark: SparkSession, prints: DataFrame, whole: DataFrame) -> DataFrame:
     """Rows like those of `whole`, the repeated paragraphs, for fingerprints that occur twice outside removed ones."""
-    prints = prints.select("doc_id", F.col("unit").alias("at"), F.col("node").alias("key"), "first", "last")
-    twice = prints.groupBy("key").agg(F.count("*").alias("copies")).where("copies > 1").select("key")
-    gone = whole.where("removed").groupBy("doc_id").agg(F.collect_set("paragraph").alias("gone"))
-    left = prints.join(twice, "key").join(gone, "doc_id", "left").where("gone is null or not exists(gone, g -> g between first and last)")
-    left = written(spark, left.select("key", "doc_id", "at"), "passages")
+    prints = prints.select("doc_id", "digest", F.col("unit").alias("at"), F.col("node").alias("key"), "first", "last")
+    twice = written(spark, prints.groupBy("key").agg(F.count("*").alias("copies")).where("copies > 1").select("key"), "twice")
+    gone = whole.where("removed").groupBy("doc_id", "digest").agg(F.collect_set("paragraph").alias("gone")).toDF("id", "of", "gone")
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("of"))
+    left = prints.join(twice, "key").join(gone, same, "left").where("gone is null or not exists(gone, g -> g between first and last)")
+    left = written(spark, left.select("key", "doc_id", "digest", "at"), "passages")
     first = left.groupBy("key").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("copies")).where("copies > 1")
-    return left.join(first, "key").select(
+    return left.join(written(spark, first, "first"), "key").select(
         "doc_id",
+        "digest",
         (-1 - F.col("at")).alias("paragraph"),
         F.lit(PASSAGE).alias("n_words"),
         F.col("first.doc_id").alias("class_doc_id"),
@@ -191,16 +197,18 @@ def without_words(piece: bytes, numbers: set[int]) -> bytes:
 def without_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """docs, with the text of removed paragraphs and passages gone; all columns stay, n_chars (if there) follows the text.
 
-    Rows with equal doc_id lose the paragraphs that any of them is to lose by number.
+    Rows with equal doc_id are told apart by their texts.
     """
-    gone = repeats(spark, docs).where("removed").groupBy("doc_id").agg(F.array_sort(F.collect_set("paragraph")).alias("__gone"))
-    joined = docs.join(gone.withColumnRenamed("doc_id", "__id"), F.col("doc_id") == F.col("__id"), "left").drop("__id")
-    names = docs.columns
-    at = names.index("text")
+    own, of, numbers = (fresh(docs.columns, n) for n in ("own", "of", "gone"))
+    gone = repeats(spark, docs).where("removed").groupBy("doc_id", "digest").agg(F.array_sort(F.collect_set("paragraph"))).toDF(own, of, numbers)
+    same = F.col("doc_id").eqNullSafe(F.col(own)) & (F.xxhash64("text") == F.col(of))
+    joined = docs.join(gone, same, "left").select(*quoted([*docs.columns, numbers]))
+    names, at = docs.columns, docs.columns.index("text")
+    places = [f"c{k}" for k in range(len(names) + 1)]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in by_blocks(batch, "text"):
+            for block in by_blocks(batch, places[at]):
                 texts = []
                 for text, numbers in zip(block.column(at).to_pylist(), block.column(len(names)).to_pylist(), strict=True):
                     if numbers and text is not None:
@@ -215,11 +223,12 @@ def without_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
                         text = b"".join(pieces).decode("utf-8", "replace")
                     texts.append(text)
                 columns = [pa.array(texts, pa.string()) if i == at else block.column(i) for i in range(len(names))]
-                yield pa.RecordBatch.from_arrays(columns, names)
+                yield pa.RecordBatch.from_arrays(columns, places[:-1])
 
-    out = joined.mapInArrow(cut, docs.schema)
+    joined = joined.toDF(*places)
+    out = joined.mapInArrow(cut, joined.drop(places[-1]).schema).toDF(*names)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in names else out
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats(spark, table(spark, sf_dir, "documents"))
+    return repeats(spark, table(spark, sf_dir, "documents")).drop("digest")

@@ -17,6 +17,11 @@ shingles are split: a task holds one chunk as its index and streams the rest of
 past it, so memory stays bounded whatever the size of the group.
 
 64-bit hashes stand for shingles and nodes: the chance of any wrong match is about n^2/2^65.
+
+Defined results: units without words have no node and link with nothing; equal sets are one
+node, whichever rows they are from; rows may share a doc_id or have none, as what is sent to
+a block is told apart by its node; an empty table gives no node; columns of docs other than
+doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -32,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tempora.llm.common import by_blocks, cached, only, written
+from tempora.llm.common import by_blocks, cached, discard, only, written
 from tempora.llm.components import components
 
 SHINGLE = 5
@@ -40,6 +45,8 @@ SHINGLE = 5
 PERCENT = 75
 #: Shingles that a task indexes at once.
 CHUNK = 2_000_000
+#: Sets that a task knows to have seen, so that copies give their keys once.
+REMEMBERED = 200_000
 SKETCH_BITS = 22
 
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -86,6 +93,13 @@ class Sets:
     def __getitem__(self, k: int) -> np.ndarray:
         return self.flat[self.starts[k] : self.starts[k + 1]]
 
+    def some(self, which: np.ndarray) -> Sets:
+        """The sets of these numbers, in rising order."""
+        sizes = self.sizes
+        kept = np.zeros(len(sizes), bool)
+        kept[which] = True
+        return Sets(self.flat[np.repeat(kept, sizes)], np.concatenate([[0], np.cumsum(sizes[which])]).astype(np.int64))
+
     def nodes(self) -> np.ndarray:
         """64-bit ids of the sets, as signed numbers: sums over their members, mixed again. Empty sets have 0."""
         out = np.zeros(len(self.starts) - 1, np.uint64)
@@ -151,7 +165,7 @@ def whole(text: str | None) -> list[tuple[int, list[bytes]]]:
 
 
 def described(docs: DataFrame, units: Units, sketch: bool) -> DataFrame:
-    """doc_id, unit, n_words, size, node of every unit; with `sketch` also rows of counts.
+    """doc_id, digest (of the row's text), unit, n_words, size, node of every unit; with `sketch` also rows of counts.
 
     The sketch counts all shingles of the corpus in 2^SKETCH_BITS cells by their low bits.
     Its rows have a slice number and compressed 4-byte counts instead of a unit. With
@@ -159,7 +173,7 @@ def described(docs: DataFrame, units: Units, sketch: bool) -> DataFrame:
     key as node, and the first and last unit that it lies in.
     """
     cells, per = 1 << SKETCH_BITS, 1 << 14
-    names, places = ["doc_id", "unit", "n_words", "size", "node", "counts"], ["first", "last"] if units.prints else []
+    names, places = ["doc_id", "digest", "unit", "n_words", "size", "node", "counts"], ["first", "last"] if units.prints else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_hashes()
@@ -167,14 +181,14 @@ def described(docs: DataFrame, units: Units, sketch: bool) -> DataFrame:
         for batch in batches:
             for block in by_blocks(batch, "text"):
                 rows, parts, texts = [], [], []
-                ids = block.column(0)
-                for doc_id, text in zip(ids.to_pylist(), block.column(1).to_pylist(), strict=True):
+                ids, digests = block.column(0), block.column(2)
+                for doc_id, text, digest in zip(ids.to_pylist(), block.column(1).to_pylist(), digests.to_pylist(), strict=True):
                     split = units.split(text)
                     if units.prints:
                         texts.append(split)
                     for unit, words in split:
                         if len(words) >= units.least:
-                            rows.append((doc_id, unit, len(words)))
+                            rows.append((doc_id, digest, unit, len(words)))
                             parts.append(words)
                 hashes = own = None
                 if units.prints:
@@ -188,21 +202,21 @@ def described(docs: DataFrame, units: Units, sketch: bool) -> DataFrame:
                 if units.prints:
                     owner, at, key, first, last = units.prints(texts, hashes)
                     n = len(at)
-                    columns = [ids.take(pa.array(owner)), pa.array(at, pa.int32()), pa.nulls(n, pa.int32()), pa.array(np.full(n, -1, np.int32)), pa.array(key.view(np.int64)), pa.nulls(n, pa.binary())]
+                    columns = [ids.take(pa.array(owner)), digests.take(pa.array(owner)), pa.array(at, pa.int32()), pa.nulls(n, pa.int32()), pa.array(np.full(n, -1, np.int32)), pa.array(key.view(np.int64)), pa.nulls(n, pa.binary())]
                     yield pa.RecordBatch.from_arrays([*columns, pa.array(first, pa.int32()), pa.array(last, pa.int32())], [*names, *places])
         if counts is not None and counts.any():
             for k in range(0, cells, per):
-                yield as_batch([(None, k // per, 0, 0, None)], [zlib.compress(counts[k : k + per].tobytes(), 1)])
+                yield as_batch([(None, None, k // per, 0, 0, None)], [zlib.compress(counts[k : k + per].tobytes(), 1)])
 
     def as_batch(rows: list[tuple], cells_: list[bytes] | None = None) -> pa.RecordBatch:
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
         columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)]
         columns.append(pa.array(cells_ or [None] * len(rows), pa.binary()))
         columns += [pa.nulls(len(rows), pa.int32()) for _ in places]
         return pa.RecordBatch.from_arrays(columns, [*names, *places])
 
-    schema = "doc_id long, unit int, n_words int, size int, node long, counts binary" + "".join(f", {p} int" for p in places)
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    schema = "doc_id long, digest long, unit int, n_words int, size int, node long, counts binary" + "".join(f", {p} int" for p in places)
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("digest")).mapInArrow(run, schema)
 
 
 def summed_sketch(rows: DataFrame) -> np.ndarray:
@@ -236,12 +250,22 @@ Keys = Callable[[Sets], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
 def postings(docs: DataFrame, units: Units, keys: Keys) -> DataFrame:
-    """(key, node, size, reach) for all keys of all units."""
+    """(key, node, size, reach) for all keys of all units; a task gives equal sets' keys once for up to REMEMBERED sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_hashes()
+        seen: set[int] = set()
         for batch in batches:
             for block in by_blocks(batch, "text"):
                 sets = shingle_sets([words for text in block.column(0).to_pylist() for _, words in units.taking_part(text)])
+                fresh = []
+                for k, node in enumerate(sets.nodes().tolist()):
+                    if node not in seen:
+                        seen.add(node)
+                        fresh.append(k)
+                if len(seen) > REMEMBERED:
+                    seen.clear()
+                sets = sets.some(np.array(fresh, np.int64))
                 key, reach, owner = keys(sets)
                 columns = [key.astype(np.int64), sets.nodes()[owner], sets.sizes[owner].astype(np.int32), reach.astype(np.int32)]
                 for at in range(0, len(key), 1 << 17):
@@ -333,7 +357,8 @@ def block_links(docs: DataFrame, units: Units, rel: DataFrame, nodes: DataFrame)
     placed = placed.join(chunks, "leader").withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     placed = placed.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     wanted = placed.groupBy("doc_id").agg(F.collect_list(F.struct("unit", "node", "leader", "chunk", (F.col("chunk") == F.col("own")).alias("member"))).alias("to"))
-    sent = docs.select("doc_id", "text").join(wanted, "doc_id").select("text", "to")
+    wanted = wanted.withColumnRenamed("doc_id", "wanted")
+    sent = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted"))).select("text", "to")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -398,7 +423,7 @@ def block_links(docs: DataFrame, units: Units, rel: DataFrame, nodes: DataFrame)
 
 
 def clustered(spark: SparkSession, docs: DataFrame, units: Units, make_keys: Callable[[np.ndarray | None], Keys], sketch: bool) -> tuple[DataFrame, DataFrame]:
-    """(units: doc_id, unit, n_words, size, node; classes: node, component) of the similarity graph.
+    """(units: doc_id, digest, unit, n_words, size, node; classes: node, component) of the similarity graph.
 
     Nodes without a link are not in classes. make_keys gets the sketch, or None.
     """
@@ -409,10 +434,12 @@ def classes_of(spark: SparkSession, docs: DataFrame, rows: DataFrame, units: Uni
     """clustered() from the rows that described() gave."""
     counts = summed_sketch(rows) if sketch else None
     units_df = rows.where(F.col("counts").isNull() & (F.col("size") >= 0) if units.prints else F.col("counts").isNull())
-    units_df = units_df.select("doc_id", "unit", "n_words", "size", "node")
+    units_df = units_df.select("doc_id", "digest", "unit", "n_words", "size", "node")
     rel = written(spark, visits(postings(docs, units, make_keys(counts))), "visits")
     least = F.min(F.struct("doc_id", "unit", "size")).alias("first")
     nodes = units_df.where(F.col("node").isNotNull()).groupBy("node").agg(least).select("node", "first.*")
     links = written(spark, block_links(docs, units, rel, nodes), "links")
+    discard(rel)
     found = components(spark, links)
+    discard(links)
     return units_df, found.select(F.col("id").alias("node"), "component")

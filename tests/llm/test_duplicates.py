@@ -293,3 +293,27 @@ def test_letter_counts_never_exceed_twice_the_edits(spark):
         assert row.b == "" or row.near <= 2 * 4  # `changed` makes four edits at most
         exact = sum(min(d, 16 - d) for d in ((row.a.count(x) - row.c.count(x)) % 16 for x in lines.LETTERS))
         assert row.far == exact
+
+
+def test_passages_of_rows_that_share_a_doc_id(spark, docs_of):
+    r = random.Random(21)
+    text = lambda n: " ".join("".join(r.choice("abcdef") for _ in range(5)) for _ in range(n))
+    twice, unique, other = text(70), text(70), text(30)
+    rows = [(1, twice), (5, twice), (5, unique), (None, twice + "\n" + other), (7, unique + " " + other + "\n" + twice)]
+    df = docs_of(rows).selectExpr("doc_id", "text", "1 as own", "2 as gone", "3 as `a.b`")
+    found = paragraphs.without_repeats(spark, df)
+    assert found.columns == df.columns
+    # the row without a doc_id comes first
+    assert sorted((x.doc_id or 0, x.text.strip()) for x in found.collect())[:4] == sorted([(0, rows[3][1]), (1, ""), (5, ""), (5, unique)])
+
+
+def test_a_large_group_of_copies_and_near_copies(spark, docs_of):
+    r = random.Random(22)
+    base = [f"w{k}" for k in range(60)]
+    rows = [(k, " ".join(base)) for k in range(5000)]
+    for k in range(5000, 8000):
+        w = list(base)
+        w[r.randrange(60)] = f"x{k}"
+        rows.append((k, " ".join(w)))
+    got = jaccard.linked_documents(spark, docs_of(rows).repartition(8)).collect()
+    assert len(got) == len(rows) and {x.component_id for x in got} == {0}
