@@ -80,10 +80,16 @@ def register(spark: SparkSession) -> list[str]:
     # the others are SQL expressions, which the optimizer sees through
     total = "aggregate({}, 0D, (s, x) -> s + x)"
     mean = total.format("v") + " / size(v)"
+    # two passes: squares of large or nearly equal values would cancel each other
+    spread = f"y -> named_struct('v', y.v, 'm', y.m, 's', sqrt({total.format('transform(y.v, u -> pow(u - y.m, 2))')} / size(y.v)))"
+    # the band of envelope_bound: as wide as the lengths differ, and empty where it leaves b
+    low, high = "greatest(0, i - greatest(0, size(a) - size(b)) - w + 1)", "least(size(b), i + greatest(0, size(b) - size(a)) + w)"
+    part = f"slice(b, {low} + 1, greatest(0, {high} - {low}))"
+    outside = f"transform(a, (x, i) -> if({high} <= {low}, 0D, greatest(x - array_max({part}), array_min({part}) - x, 0D)))"
     expressions = {
         "ts_ed(a ARRAY<DOUBLE>, b ARRAY<DOUBLE>) RETURNS DOUBLE": "sqrt(" + total.format("transform(sequence(0, greatest(size(a), size(b)) - 1), i -> pow(a[least(i, size(a) - 1)] - b[least(i, size(b) - 1)], 2))") + ")",
-        "ts_lb_keogh(a ARRAY<DOUBLE>, b ARRAY<DOUBLE>, w INT) RETURNS DOUBLE": "sqrt(" + total.format("transform(a, (x, i) -> pow(greatest(x - array_max(slice(b, greatest(0, i - w + 1) + 1, least(size(b), i + w) - greatest(0, i - w + 1))), array_min(slice(b, greatest(0, i - w + 1) + 1, least(size(b), i + w) - greatest(0, i - w + 1))) - x, 0D), 2))") + ")",
-        "ts_znorm(v ARRAY<DOUBLE>) RETURNS ARRAY<DOUBLE>": f"transform(array(named_struct('v', v, 'm', {mean}, 's', sqrt({total.format(f'transform(v, x -> x * x)')} / size(v) - pow({mean}, 2)))), z -> transform(z.v, x -> if(z.s > 0, (x - z.m) / z.s, 0D)))[0]",
+        "ts_lb_keogh(a ARRAY<DOUBLE>, b ARRAY<DOUBLE>, w INT) RETURNS DOUBLE": f"sqrt({total.format(f'transform({outside}, x -> x * x)')})",
+        "ts_znorm(v ARRAY<DOUBLE>) RETURNS ARRAY<DOUBLE>": f"transform(transform(array(named_struct('v', v, 'm', {mean})), {spread}), z -> transform(z.v, x -> if(z.s > 0, (x - z.m) / z.s, 0D)))[0]",
         "ts_diff(v ARRAY<DOUBLE>) RETURNS ARRAY<DOUBLE>": "zip_with(slice(v, 2, greatest(size(v) - 1, 0)), slice(v, 1, greatest(size(v) - 1, 0)), (y, x) -> y - x)",
         "ts_derivative(v ARRAY<DOUBLE>) RETURNS ARRAY<DOUBLE>": "if(size(v) < 2, transform(v, x -> 0D), transform(v, (x, i) -> case when i = 0 then get(v, 1) - x when i = size(v) - 1 then x - get(v, i - 1) else ((x - get(v, i - 1)) + (get(v, i + 1) - get(v, i - 1)) / 2) / 2 end))",
         "ts_logdomain(v ARRAY<DOUBLE>) RETURNS ARRAY<DOUBLE>": "transform(v, x -> signum(x) * log1p(abs(x)))",

@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from tempora.functions import columns
 from tempora.kernels import dtw, measures
@@ -130,6 +131,10 @@ def independent_distances(series: DataFrame, settings: DistanceSettings = Distan
 
 
 def euclidean_distances(series: DataFrame, settings: DistanceSettings = DistanceSettings(), block: Rectangle | None = None) -> DataFrame:
+    """In the JVM over all pairs of series of numbers; by the kernel in a block, and for series of points or a cost of one's own."""
+    numbers = isinstance(series.schema["values"].dataType.elementType, NumericType)
+    if block is None and numbers and not callable(settings.inner):
+        return column_pairs(series, lambda a, b: columns.euclidean(a, b, settings.squared))
     return block_pairs(series, None, lambda a, b: [dtw.euclidean(x, y, settings) for x, y in zip(a, b, strict=True)], "distance double", block)
 
 
@@ -207,12 +212,14 @@ def column_pairs(series: DataFrame, expression: Callable[[Column, Column], Colum
     n = series.count()
     k = max(1, -(-n // BLOCK))
     a = series.select(F.col("series_id").alias("i"), F.col("values").alias("a"), F.pmod(F.xxhash64("series_id"), F.lit(k)).alias("own"))
-    left = a.withColumn("met", F.explode(F.sequence(F.lit(0), F.lit(k - 1)).cast("array<long>"))).select("i", "a", F.least("own", "met").alias("r"), F.greatest("own", "met").alias("c"))
-    right = left.select(F.col("i").alias("j"), F.col("a").alias("b"), "r", "c")
-    pairs = left.join(right, ["r", "c"]).where(F.col("i") < F.col("j"))
-    # two series of one block meet in all of that block's groups: their own group counts
-    own = lambda x: F.pmod(F.xxhash64(x), F.lit(k))
-    pairs = pairs.where((F.col("r") == F.least(own("i"), own("j"))) & (F.col("c") == F.greatest(own("i"), own("j"))))
+    sent = a.withColumn("met", F.explode(F.sequence(F.lit(0), F.lit(k - 1)).cast("array<long>"))).withColumns({"r": F.least("own", "met"), "c": F.greatest("own", "met")})
+    # block own meets every block, as the smaller or as the larger of the two
+    left = sent.where("own <= met").select("i", "a", "r", "c")
+    right = sent.where("own >= met").select(F.col("i").alias("j"), F.col("a").alias("b"), "r", "c")
+    met = left.join(right, ["r", "c"]).where((F.col("r") < F.col("c")) | (F.col("i") < F.col("j")))
+    turned = F.col("i") > F.col("j")
+    pick = lambda x, y, name: F.when(turned, F.col(y)).otherwise(F.col(x)).alias(name)
+    pairs = met.where("i <> j").select(pick("i", "j", "i"), pick("j", "i", "j"), pick("a", "b", "a"), pick("b", "a", "b"))
     if keep is not None:
         pairs = pairs.where(keep)
     return pairs.select("i", "j", expression(F.col("a"), F.col("b")).alias(name))

@@ -61,9 +61,9 @@ def nearest(queries: Sequence[tuple[int, Sequence]], candidates: DataFrame, k: i
 
 
 def windows(series: DataFrame, width: int, stride: int) -> DataFrame:
-    """Candidates from long series: series_id is the number of the window, with source and begin."""
+    """Candidates from long series, with source and begin; series_id holds both, for sources below 2^32."""
     w = series.select(F.col("series_id").alias("source"), F.explode(columns.windows(F.col("values"), width, stride)).alias("w"))
-    return w.select((F.col("source") * 1_000_000 + F.col("w.begin")).alias("series_id"), "source", F.col("w.begin").alias("begin"), F.col("w.values").alias("values"))
+    return w.select((F.shiftleft(F.col("source").cast("long"), 31) + F.col("w.begin")).alias("series_id"), "source", F.col("w.begin").alias("begin"), F.col("w.values").alias("values"))
 
 
 def _each(series: DataFrame, work, schema: str) -> DataFrame:
@@ -71,7 +71,6 @@ def _each(series: DataFrame, work, schema: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
-        from pyspark.sql.types import _parse_datatype_string  # noqa: F401
 
         for batch in batches:
             rows = [r for i, v in zip(batch.column(0).to_pylist(), _values(pa.chunked_array([batch.column(1)])), strict=True) for r in work(i, v)]

@@ -399,24 +399,56 @@ def k_means(spark, sf_dir):
 # ---- paths
 
 
-@query()
+_WHOLE = "forall(sequence(0, size(path) - 2), k -> path[k + 1].i - path[k].i between 0 and 1 and path[k + 1].j - path[k].j between 0 and 1 and path[k] <> path[k + 1])"
+
+
+@query(f"SELECT i, j, distance, distance AS along, true AS whole FROM ({oracle.all_pairs('vectors', f'sqrt(list_last({_dim(1)}))')})")
 def warping_paths(spark, sf_dir):
-    p = pairwise.paths(tables.vectors(spark, sf_dir).withColumn("values", F.transform("values", lambda v: v[0])))
-    return rounded(p.select("i", "j", "distance", F.size("path").alias("length"), columns.warping_amount(F.col("path")).alias("turns")))
+    """Cheapest paths, whichever of equal ones: from corner to corner in allowed steps, at the pair's distance."""
+    s = tables.vectors(spark, sf_dir).withColumn("values", F.transform("values", lambda v: v[0]))
+    p = _with_series(pairwise.paths(s), s)
+    ends = F.expr("path[0].i = 0 and path[0].j = 0 and path[size(path) - 1].i = size(a) - 1 and path[size(path) - 1].j = size(b) - 1")
+    return rounded(p.select("i", "j", "distance", F.round(columns.path_distance(F.col("path"), F.col("a"), F.col("b")), 6).alias("along"), (ends & F.expr(_WHOLE)).alias("whole")))
 
 
-def _paths_with_series(spark, sf_dir) -> DataFrame:
-    s = tables.hourly(spark, sf_dir).withColumn("values", F.slice("values", 1, 720))
-    p = pairwise.paths(s, DistanceSettings(window=12))
+def _with_series(p: DataFrame, s: DataFrame) -> DataFrame:
     a, b = s.select(F.col("series_id").alias("i"), F.col("values").alias("a")), s.select(F.col("series_id").alias("j"), F.col("values").alias("b"))
     return p.join(a, "i").join(b, "j")
 
 
-@query()
+def _paths_with_series(spark, sf_dir) -> DataFrame:
+    s = tables.hourly(spark, sf_dir)
+    return _with_series(pairwise.paths(s, DistanceSettings(window=12)), s)
+
+
+@query(f"SELECT i, j, distance, distance AS along, true AS less FROM ({oracle.all_pairs('slots', f'sqrt(list_last({oracle.last_row(window=4)}))')})")
 def path_distances(spark, sf_dir):
-    """Along a pair's cheapest path, the plain cost is its distance again; relaxed, it is less."""
-    p = _paths_with_series(spark, sf_dir)
-    return p.select("i", "j", F.round("distance", 6).alias("distance"), F.round(columns.path_distance(F.col("path"), F.col("a"), F.col("b")), 6).alias("along"), F.round(columns.path_distance(F.col("path"), F.col("a"), F.col("b"), relaxed=True), 6).alias("relaxed"), F.size(columns.far_points(F.col("path"), F.col("a"), F.col("b"), 100.0)).alias("far"))
+    """Along a pair's cheapest path, the plain cost is its distance again; relaxed, it isn't more."""
+    s = tables.slots(spark, sf_dir)
+    p = _with_series(pairwise.paths(s, DistanceSettings(window=4)), s)
+    along, relaxed = (columns.path_distance(F.col("path"), F.col("a"), F.col("b"), relaxed=r) for r in (False, True))
+    return rounded(p.select("i", "j", "distance", F.round(along, 6).alias("along"), (relaxed <= along + 1e-9).alias("less")))
+
+
+@query(oracle.all_pairs("slots", f"sqrt(list_last({oracle.last_row(window=4)}))", condition="x.id < 48 AND y.id >= 48"))
+def dtw_two_sets(spark, sf_dir):
+    """Every series of one set with every one of another."""
+    s = tables.slots(spark, sf_dir)
+    return rounded(pairwise.distances(s.where("series_id < 48"), DistanceSettings(window=4), s.where("series_id >= 48")))
+
+
+@query(oracle.all_pairs("vectors", "list_last(" + oracle.nested_last_row("sqrt((cur[1] - b[q[1]::INT][1]) ** 2 + (cur[2] - b[q[1]::INT][2]) ** 2)") + ")"))
+def dtw_dependent_euclidean(spark, sf_dir):
+    return rounded(pairwise.distances(tables.vectors(spark, sf_dir), DistanceSettings(inner="euclidean")))
+
+
+@query(oracle.all_pairs("slots", f"sqrt(list_last({oracle.last_row()})) <= sqrt(list_sum(list_transform(range(1, len(a) + 1), lambda k: (a[k] - b[k]) ** 2))) AS within, sqrt(list_sum(list_transform(range(1, len(a) + 1), lambda k: (a[k] - b[k]) ** 2)))", "bound").replace("round(", "", 1).replace("AS within, sqrt", "AS within, round(sqrt", 1))
+def euclidean_upper_bounds(spark, sf_dir):
+    """The Euclidean distance bounds warping from above."""
+    s = tables.slots(spark, sf_dir)
+    upper = pairwise.euclidean_distances(s).withColumnRenamed("distance", "bound")
+    both = pairwise.distances(s).join(upper, ["i", "j"])
+    return rounded(both.select("i", "j", (F.col("distance") <= F.col("bound") + 1e-9).alias("within"), "bound"), "bound")
 
 
 @query()
@@ -463,17 +495,27 @@ def cost_table_last_rows(spark, sf_dir):
     return cells.join(last, "i").where("row = n").select("i", "j", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), F.round("cost", 6).alias("cost"))
 
 
-@query()
+_SIM = "exp(-100.0 * (cur[1] - b[q[1]::INT][1]) ** 2)"
+_BEST = "greatest(0.0, prev[q[1]::INT + 1], prev[q[1]::INT + 2], list_last(row))"
+_AFFINE = f"list_reduce(list_transform(range(1, len(b) + 1), lambda k: [k::DOUBLE]), lambda row, q: list_append(row, CASE WHEN {_SIM} < 0.5 THEN greatest(0.0, -1.0 + 0.9 * {_BEST}) ELSE {_SIM} + {_BEST} END), [0.0::DOUBLE])"
+#: Rows of the table behind the highest value so far.
+_HIGHEST = f"list_reduce(list_transform(a, lambda z: [z[1]::DOUBLE]), lambda prev, cur: list_prepend(greatest(prev[1], list_max({_AFFINE})), {_AFFINE}), list_transform(range(len(b) + 2), lambda k: 0.0::DOUBLE))[1]"
+
+
+@query(oracle.all_pairs("vectors", _HIGHEST, "highest"))
 def affinity_tables(spark, sf_dir):
     s = tables.vectors(spark, sf_dir).withColumn("values", F.transform("values", lambda v: v[0]))
     t = pairwise.affinity_tables(s, ConcurrenceSettings(gamma=100.0, tau=0.5, delta=-1.0, delta_factor=0.9))
     return t.select("i", "j", F.round(F.array_max(F.transform("table", lambda r: F.array_max(r))), 6).alias("highest"))
 
 
-@query()
+@query(oracle.all_pairs("names", _NW, "score").replace(" FROM p", f", round({_NW}, 6) AS along, array_to_string(a, '') AS first, array_to_string(b, '') AS second FROM p"))
 def alignments(spark, sf_dir):
+    """Alignments, whichever of equal ones: they spell both strings, and score what the pair does."""
     found = pairwise.alignments(tables.names(spark, sf_dir))
-    return found.select("i", "j", "score", F.array_join("first", "").alias("first"), F.array_join("second", "").alias("second"))
+    along = F.aggregate(F.zip_with("first", "second", lambda x, y: F.when(x == y, 1.0).otherwise(-1.0)), F.lit(0.0), lambda s, x: s + x)
+    spelled = [F.array_join(F.array_remove(c, "-"), "").alias(c) for c in ("first", "second")]
+    return rounded(found.select("i", "j", "score", along.alias("along"), *spelled), "score")
 
 
 @query()

@@ -71,7 +71,7 @@ def substitution_matrix(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("n", "line"))
     cells = lines.select("n", F.filter(F.split(F.trim(F.split("line", "#")[0]), r"\s+"), lambda x: x != "").alias("c")).where(F.size("c") > 0)
     head = cells.orderBy("n").limit(1).select(F.col("n").alias("n0"), F.col("c").alias("head"))
-    rows = cells.join(F.broadcast(head), F.col("n") > F.col("n0")).select(F.col("c")[0].alias("b"), F.posexplode(F.slice("c", 2, 1000)).alias("k", "score"), "head")
+    rows = cells.join(F.broadcast(head), F.col("n") > F.col("n0")).select(F.col("c")[0].alias("b"), F.posexplode(F.slice("c", F.lit(2), F.size("c"))).alias("k", "score"), "head")
     return rows.select(F.get("head", F.col("k")).alias("a"), "b", F.col("score").cast("double").alias("score")).where("a is not null")
 
 

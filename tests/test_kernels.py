@@ -24,6 +24,27 @@ def test_subsequence_segments():
     assert found[0].path == ((0, 2), (1, 3), (2, 4))
 
 
+LONGER = [1.0, 0, 1, 2, 1, 0, 2, 0, 3, 0, 0, 5, 6, *[0.0] * 10]
+
+
+@pytest.mark.parametrize("stop", [{"max_range_factor": 1.2}, {"knee_alpha": 0.3}])
+def test_matches_that_overlap_are_passed_over(stop):
+    found = subsequence.Alignment([1.0, 2, 0], LONGER).matches(k=None, **stop)
+    assert [[m.begin, m.end] for m in found] == [[2, 4], [5, 7], [0, 1], [4, 5]]
+
+
+def test_no_point_ends_two_matches():
+    r = np.random.default_rng(3)
+    for overlap in (0, 2):
+        a = subsequence.Alignment(r.normal(size=8), r.normal(size=200).cumsum())
+        taken: set[int] = set()
+        for m in a.matches(k=20, overlap=overlap):
+            steps = m.end - m.begin
+            own = set(range(m.idx + 1 - steps + min(overlap, steps - 1), m.idx + 1))
+            assert not own & taken
+            taken |= own
+
+
 def test_subsequence_stops_by_range_or_knee():
     a = subsequence.Alignment([1.0, 2, 0], [1.0, 0, 1, 2, 1, 0, 2, 0, 3, 0, 0, 0, 0, 0, 9, 9, 9])
     assert len(list(a.matches(k=None, max_range_factor=2))) < len(list(a.matches(k=None)))

@@ -157,3 +157,29 @@ def test_stream_of_windows(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [r["value"] for r in spark.table("k").collect()][-1:] == [50.0]
+
+
+def test_sql_functions_on_ragged_and_constant_series(spark):
+    from tempora.functions import sql
+    from tempora.kernels import dtw
+    from tempora.settings import DistanceSettings
+
+    sql.register(spark)
+    a, b = [1.0, 5.0, 2.0, 8.0, 1.0], [3.0, 4.0]
+    for x, y in ((a, b), (b, a), (a, a)):
+        got = spark.sql(f"select ts_lb_keogh(array({','.join(f'{v}D' for v in x)}), array({','.join(f'{v}D' for v in y)}), 2)").first()[0]
+        assert got == pytest.approx(dtw.envelope_bound(np.array(x), np.array(y), DistanceSettings(window=2)))
+    for v in ([0.1] * 4, [0.7] * 4):
+        assert spark.sql(f"select ts_znorm(array({','.join(f'{x}D' for x in v)}))").first()[0] == [0.0] * 4
+    assert spark.sql("select ts_znorm(array(1000000001D, 1000000002D, 1000000003D))").first()[0] == pytest.approx([-1.224744871391589, 0, 1.224744871391589])
+
+
+def test_expressions_meet_every_pair_once_in_blocks(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from tempora.operators import pairwise
+
+    monkeypatch.setattr(pairwise, "BLOCK", 5)
+    s = spark.createDataFrame([(k, [float(k)]) for k in range(23)], "series_id long, values array<double>")
+    got = pairwise.column_pairs(s, lambda a, b: F.get(b, F.lit(0)) - F.get(a, F.lit(0))).collect()
+    assert sorted((r.i, r.j, r.distance) for r in got) == [(i, j, float(j - i)) for i in range(23) for j in range(i + 1, 23)]
