@@ -8,8 +8,9 @@ back to every path. A rule's version is a digest of its definition, so a changed
 scanned again and the others aren't.
 
 Defined results: a null text is the empty blob; repeated rows and equal texts share a scan
-and each get the findings; an empty table gives no row; column names of the versions may be
-anything but text, as all others are carried along unread.
+and each get the findings; an empty table gives no row; other columns of the versions are
+carried along unread, but those that are named like a column of the result give way to it. A
+ledger that holds a pair twice, as after an append that was repeated, counts it once.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempora.llm.common import table
+from tempora.llm.common import fresh, quoted, shared_dir, table, written
 
 
 @dataclass(frozen=True)
@@ -50,6 +51,8 @@ RULES = (
 )
 
 SPAN = "struct<start: int, no: int, end: int>"
+#: Blobs with findings that may go to every task, and the spans that they may have in all.
+BROADCAST_BLOBS, BROADCAST_SPANS = 50_000, 200_000
 LEDGER = f"blob string, rule string, rule_version string, spans array<{SPAN}>"
 
 
@@ -72,13 +75,13 @@ def scanned_spans(text: str, rule: Rule, no: int) -> Column:
     return F.when(F.rlike(F.col(text), pattern), F.aggregate(matches, start, step, lambda held: held["found"])).otherwise(none)
 
 
-def addressed(versions: DataFrame) -> DataFrame:
-    return versions.withColumn("blob", F.sha2(F.coalesce("text", F.lit("")), 256))
+def addressed(versions: DataFrame, into: str = "blob") -> DataFrame:
+    return versions.withColumn(into, F.sha2(F.coalesce("text", F.lit("")), 256))
 
 
 def unseen(versions: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...]) -> DataFrame:
     """Distinct blobs with their text and, for each rule, whether this pair was never scanned."""
-    blobs = addressed(versions).groupBy("blob").agg(F.first(F.coalesce("text", F.lit(""))).alias("text"))
+    blobs = addressed(versions.select("text")).groupBy("blob").agg(F.first(F.coalesce("text", F.lit(""))).alias("text"))
     if ledger is None:
         return blobs.select("blob", "text", *[F.lit(True).alias(f"new_{k}") for k in range(len(rules))])
     known = ledger.groupBy("blob").agg(*[F.max(F.col("rule_version") == r.version).alias(f"has_{k}") for k, r in enumerate(rules)])
@@ -109,17 +112,24 @@ def update(spark: SparkSession, versions: DataFrame, path: str, rules: tuple[Rul
 
 
 def findings(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Every version's columns but its text, with `spans` of all rules by start, then rule."""
+    """Every version's columns but its text, with its blob and the `spans` of all rules by start, then rule."""
+    spark = versions.sparkSession
     current = ledger.where(F.col("rule_version").isin([r.version for r in rules]) & (F.size("spans") > 0))
-    by_blob = current.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
-    keys = addressed(versions).drop("text")
-    found = keys.join(by_blob, "blob", "left")
-    return found.withColumn("spans", F.coalesce("spans", F.array().cast(f"array<{SPAN}>")))
+    once = current.groupBy("blob", "rule_version").agg(F.first("spans").alias("spans"))
+    by_blob = written(spark, once.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans")).toDF("of", "found"), "by_blob")
+    # the few blobs with findings go to every task; many are joined by two plain exchanges, of which the planner can split a hot blob
+    rows, spans = by_blob.agg(F.count("*"), F.coalesce(F.sum(F.size("found")), F.lit(0))).first()
+    by_blob = F.broadcast(by_blob) if rows <= BROADCAST_BLOBS and spans <= BROADCAST_SPANS else by_blob
+    kept = [c for c in versions.columns if c.lower() not in ("text", "blob", "spans")]
+    of, found = fresh(kept, "of"), fresh(kept, "found")
+    keys = addressed(versions.select("text", *quoted(kept))).drop("text").join(by_blob.toDF(of, found), F.col("blob") == F.col(of), "left")
+    return keys.select(*quoted(kept), "blob", F.coalesce(F.col(found), F.array().cast(f"array<{SPAN}>")).alias("spans"))
 
 
 def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Through a ledger of its own in the shared folder, in which no pair is known before: every blob is scanned."""
     versions = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = findings(versions, scan(versions))
+    found = findings(versions, update(spark, versions, f"{shared_dir(spark)}/ledger"))
     kinds = F.array(*[F.lit(r.kind) for r in RULES])
     written = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", F.get(kinds, s["no"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
     n = [F.expr(f"cast(size(filter(spans, s -> s.no = {k})) as bigint)").alias(f"n_{r.kind}") for k, r in enumerate(RULES)]

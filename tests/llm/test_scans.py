@@ -34,7 +34,7 @@ def test_spans_are_those_of_the_patterns(docs_of):
     assert found == sorted((k, brute_spans(t)) for k, t in rows)
 
 
-def test_the_ledger_scans_only_what_is_new(spark, docs_of, tmp_path):
+def test_the_ledger_scans_only_what_is_new(spark, docs_of, tmp_path, monkeypatch):
     path = str(tmp_path / "ledger")
     first = docs_of([(1, "token=abcdefghijklmnop"), (2, "clean"), (3, "clean")])
     assert secrets.update(spark, first, path).count() == 2 * len(RULES)  # two blobs
@@ -47,6 +47,16 @@ def test_the_ledger_scans_only_what_is_new(spark, docs_of, tmp_path):
     assert {x.rule for x in secrets.scan(first, ledger, changed).collect()} == {"hex"} and secrets.scan(first, ledger, changed).count() == 2
     found = {x.doc_id: len(x.spans) for x in secrets.findings(second.unionByName(first), ledger).collect()}
     assert found == {1: 1, 2: 0, 3: 0, 4: 0, 5: 2}
+    ledger.write.mode("append").parquet(str(tmp_path / "again"))
+    ledger.write.mode("append").parquet(str(tmp_path / "again"))
+    twice = spark.read.schema(secrets.LEDGER).parquet(str(tmp_path / "again"))
+    monkeypatch.setattr(secrets, "BROADCAST_BLOBS", 0)
+    assert {x.doc_id: len(x.spans) for x in secrets.findings(second.unionByName(first), twice).collect()} == found
+    odd = first.selectExpr("doc_id", "text", "1 as blob", "2 as spans", "3 as of", "4 as found", "5 as `a.b`")
+    got = secrets.findings(odd, ledger)
+    assert got.columns == ["doc_id", "of", "found", "a.b", "blob", "spans"] and {x.doc_id: len(x.spans) for x in got.collect()} == {1: 1, 2: 0, 3: 0}
+    none = first.where("doc_id > 9")
+    assert secrets.findings(none, secrets.update(spark, none, str(tmp_path / "empty"))).collect() == []
     wide = first.selectExpr("doc_id", "text", "'a' as path", "1 as rule")
     assert secrets.findings(wide, ledger).columns == ["doc_id", "path", "rule", "blob", "spans"] or "path" in secrets.findings(wide, ledger).columns
 
