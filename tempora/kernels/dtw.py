@@ -67,10 +67,13 @@ def band(i: int, r: np.ndarray, c: np.ndarray, settings: DistanceSettings) -> tu
 class Sweep:
     """The recurrence over one batch. Keeps two rows, or all of them for paths."""
 
-    def __init__(self, first: Sequence, second: Sequence, settings: DistanceSettings, keep: bool = False):
-        self.s, ndim = settings, max(dimensions(first), dimensions(second))
-        self.a, self.r = stacked(first, ndim)
-        self.b, self.c = stacked(second, ndim)
+    def __init__(self, first: Sequence, second: Sequence, settings: DistanceSettings, keep: bool = False, stacks: tuple | None = None):
+        """stacks: (values, lengths) of both sides as stacked() gives them, instead of the series."""
+        self.s = settings
+        if stacks is None:
+            ndim = max(dimensions(first), dimensions(second))
+            stacks = stacked(first, ndim), stacked(second, ndim)
+        (self.a, self.r), (self.b, self.c) = stacks
         self.n, self.m, self.pairs = len(self.a), len(self.b), len(self.r)
         self.table = np.full((self.n + 1, self.m + 1, self.pairs), INF) if keep else None
         self.best = np.full(self.pairs, INF)
@@ -80,6 +83,7 @@ class Sweep:
 
     def _run(self) -> None:
         s, at = self.s, np.arange(self.pairs)
+        held, lengths = at, (self.r, self.c)
         begin1, end1, begin2, end2 = s.psi4
         penalty = s.to_cost(s.penalty)
         step = None if s.max_step is None else s.to_cost(s.max_step)
@@ -95,7 +99,18 @@ class Sweep:
         self._tails(0, previous, row_tail, column_tail, end1, end2, at)
         current = np.empty_like(previous)
         scratch = np.empty(self.pairs)
+        # costs that aren't negative only grow along a path: a pair whose whole row is beyond the limit is given up
+        limit = None if s.max_dist is None or self.table is not None or callable(s.inner) else s.to_cost(s.max_dist)
         for i in range(self.n):
+            if limit is not None and i:
+                alive = (previous.min(0) <= limit) | (row_tail[0] <= limit) | (column_tail[0] <= limit)
+                if 2 * np.count_nonzero(alive) < len(alive):
+                    if not alive.any():
+                        break
+                    held = held[alive]
+                    self.a, self.b, self.r, self.c = self.a[..., alive], self.b[..., alive], self.r[alive], self.c[alive]
+                    previous, current, scratch = previous[:, alive], current[:, alive], scratch[alive]
+                    row_tail, column_tail, at = row_tail[:, alive], column_tail[:, alive], np.arange(len(held))
             cost = row_costs(self.a[i], self.b, s)
             if step is not None:
                 cost = np.where(cost > step, INF, cost)
@@ -121,6 +136,12 @@ class Sweep:
                 self.table[i + 1] = current
             self._tails(i + 1, current, row_tail, column_tail, end1, end2, at)
             previous, current = current, previous
+        if len(held) < self.pairs or limit is not None:
+            self.r, self.c = lengths
+            tails = np.full((2, 2, self.pairs), INF)
+            tails[:, 1] = 0
+            tails[0][:, held], tails[1][:, held] = row_tail, column_tail
+            row_tail, column_tail = tails
         self._finish(row_tail, column_tail)
 
     def _tails(self, i: int, row: np.ndarray, row_tail: np.ndarray, column_tail: np.ndarray, end1: int, end2: int, at: np.ndarray) -> None:
@@ -196,6 +217,25 @@ def distances(first: Sequence, second: Sequence, settings: DistanceSettings) ->
     return out
 
 
+def distances_among(values: Sequence, first: np.ndarray, second: np.ndarray, settings: DistanceSettings) -> np.ndarray:
+    """Distance of each pair of numbers into values: as distances(), but every series is laid out once, not once a pair."""
+    out = np.full(len(first), INF)
+    if not len(first):
+        return out
+    stack, n = stacked(values, dimensions(values))
+    order = np.lexsort((n[second], n[first]))
+    if settings.max_length_diff is not None:
+        order = order[np.abs(n[first[order]] - n[second[order]]) <= settings.max_length_diff]
+    for at in range(0, len(order), BATCH_PAIRS):
+        part = order[at : at + BATCH_PAIRS]
+        sides = []
+        for side in (first[part], second[part]):
+            lengths = n[side]
+            sides.append((stack[: int(lengths.max())].take(side, axis=-1), lengths))
+        out[part] = Sweep((), (), settings, stacks=tuple(sides)).distances()
+    return out
+
+
 def warped(first: Sequence, second: Sequence, settings: DistanceSettings, tie: str = "up") -> tuple[np.ndarray, list[np.ndarray]]:
     """Distances and paths; tables are kept for as many pairs at once as TABLE_CELLS allows."""
     out, trails = np.full(len(first), INF), []
@@ -273,6 +313,23 @@ def envelope_bound(a: np.ndarray, b: np.ndarray, settings: DistanceSettings) ->
     return float(np.sqrt(total)) if settings.squared else total
 
 
+def envelope_bounds(a: np.ndarray, others: Sequence, settings: DistanceSettings) -> np.ndarray:
+    """envelope_bound() of a and each of the others: one vector operation for each point of a."""
+    stack, lengths = stacked(others, 1)
+    out = np.zeros(len(lengths))
+    for m in np.unique(lengths).tolist():
+        mine = np.flatnonzero(lengths == m)
+        part = stack[:m].take(mine, axis=1)
+        w = settings.window or max(len(a), m)
+        back, ahead = max(0, len(a) - m) + w - 1, max(0, m - len(a)) + w
+        for i, x in enumerate(a):
+            near = part[max(0, i - back) : min(m, i + ahead)]
+            if len(near):
+                off = np.maximum(np.maximum(x - near.max(0), near.min(0) - x), 0.0)
+                out[mine] += off * off if settings.squared else off
+    return np.sqrt(out) if settings.squared else out
+
+
 def euclidean(a: np.ndarray, b: np.ndarray, settings: DistanceSettings) -> float:
     """Point by point; the rest of the longer series is compared to the last point of the shorter."""
     a, b = np.asarray(a, float), np.asarray(b, float)

@@ -32,9 +32,11 @@ def block_pairs(series: DataFrame, other: DataFrame | None, kernel: Kernel, resu
     """(i, j, result...) of the kernel over pairs of series and other; of series with itself, i < j, if there is no other.
 
     result: the schema of one kernel result, e.g. `distance double`; a kernel gives one value
-    for each pair, or a tuple if result has several columns. With a rectangle of ids the
-    triangle applies as well unless it is turned off.
+    for each pair, or a tuple if result has several columns. A kernel with an attribute `among`
+    gives this instead from all series of a group and two arrays of their numbers. With a
+    rectangle of ids the triangle applies as well unless it is turned off.
     """
+    among = getattr(kernel, "among", None)
     left = series.select(F.col("series_id").alias("id"), F.col(column).alias("v"))
     right = left if other is None else other.select(F.col("series_id").alias("id"), F.col(column).alias("v"))
     if block:
@@ -67,10 +69,10 @@ def block_pairs(series: DataFrame, other: DataFrame | None, kernel: Kernel, resu
         out_i, out_j, out_v = [], [], []
 
         def flush(p: np.ndarray, q: np.ndarray) -> None:
-            got = kernel([values[k] for k in p], [values[k] for k in q])
+            got = among(values, p, q) if among else kernel([values[k] for k in p], [values[k] for k in q])
             out_i.append(key[p])
             out_j.append(key[q])
-            out_v.extend(list(got))
+            out_v.append(got)
 
         p, q = (x.ravel() for x in np.meshgrid(firsts, seconds, indexing="ij"))
         if diagonal:
@@ -88,10 +90,11 @@ def block_pairs(series: DataFrame, other: DataFrame | None, kernel: Kernel, resu
             flush(p[at : at + PAIRS], q[at : at + PAIRS])
         i = np.concatenate(out_i) if out_i else np.zeros(0, np.int64)
         j = np.concatenate(out_j) if out_j else np.zeros(0, np.int64)
-        if len(fields) == 1:
-            results = [pa.array(out_v, target[0])]
+        if out_v and all(isinstance(v, np.ndarray) for v in out_v):
+            results = [pa.array(np.concatenate(out_v), target[0])]
         else:
-            results = [pa.array([v[k] for v in out_v], t) for k, t in enumerate(target)]
+            rows = [v for got in out_v for v in got]
+            results = [pa.array(rows, target[0])] if len(fields) == 1 else [pa.array([v[k] for v in rows], t) for k, t in enumerate(target)]
         return pa.Table.from_arrays([pa.array(i), pa.array(j), *results], [*arrow.names, *fields])
 
     from pyspark.sql.pandas.types import to_arrow_type
@@ -118,7 +121,12 @@ def _values(column: pa.ChunkedArray) -> list:
 
 def distances(series: DataFrame, settings: DistanceSettings = DistanceSettings(), other: DataFrame | None = None, block: Rectangle | None = None, triangle: bool = True) -> DataFrame:
     """(i, j, distance): DTW over all pairs; vectors at each time make it the dependent n-dimensional form."""
-    return block_pairs(series, other, lambda a, b: dtw.distances(a, b, settings), "distance double", block, triangle)
+
+    def kernel(a: list, b: list) -> np.ndarray:
+        return dtw.distances(a, b, settings)
+
+    kernel.among = lambda values, p, q: dtw.distances_among(values, p, q, settings)
+    return block_pairs(series, other, kernel, "distance double", block, triangle)
 
 
 def independent_distances(series: DataFrame, settings: DistanceSettings = DistanceSettings(), block: Rectangle | None = None) -> DataFrame:
@@ -142,14 +150,20 @@ def split_merge_distances(series: DataFrame, cost: float = 0.1, block: Rectangle
     return block_pairs(series, None, lambda a, b: [measures.move_split_merge(x, y, cost) for x, y in zip(a, b, strict=True)], "distance double", block)
 
 
-def weighted_distances(series: DataFrame, weights: dict[int, Sequence], window: int | None = None) -> DataFrame:
-    """The smaller of both directions, each weighted by its first series; weights: knots by series id."""
-    known = series.sparkSession.sparkContext.broadcast({k: np.asarray(w, float) for k, w in weights.items()})
-    tagged = series.select("series_id", F.concat(F.array(F.col("series_id").cast("double")), "values").alias("values"))
+def weighted_distances(series: DataFrame, weights: DataFrame | dict[int, Sequence], window: int | None = None) -> DataFrame:
+    """The smaller of both directions, each weighted by its first series; weights: (series_id, knots), eight knots for each point.
+
+    Knots go with their points (as a point's second to ninth value), so none are broadcast; a
+    series without knots has no pairs.
+    """
+    if isinstance(weights, dict):
+        rows = [(int(k), np.asarray(w, float).tolist()) for k, w in weights.items()]
+        weights = series.sparkSession.createDataFrame(rows, "series_id long, knots array<array<double>>")
+    points = F.zip_with("values", "knots", lambda x, k: F.concat(F.array(x), k))
+    tagged = series.select("series_id", "values").join(weights.select("series_id", "knots"), "series_id").select("series_id", points.alias("values"))
 
     def one(x: np.ndarray, y: np.ndarray) -> float:
-        w = known.value
-        return min(measures.weighted_distance(x[1:], y[1:], w[int(x[0])], window), measures.weighted_distance(y[1:], x[1:], w[int(y[0])], window))
+        return min(measures.weighted_distance(x[:, 0], y[:, 0], x[:, 1:], window), measures.weighted_distance(y[:, 0], x[:, 0], y[:, 1:], window))
 
     return block_pairs(tagged, None, lambda a, b: [one(x, y) for x, y in zip(a, b, strict=True)], "distance double")
 

@@ -45,7 +45,8 @@ def nearest(queries: Sequence[tuple[int, Sequence]], candidates: DataFrame, k: i
                         limit = -heap[0][0]
                     part = range(at, min(at + STRIDE, len(ids)))
                     if use_bound and limit is not None and settings.lower_bound_holds and v.ndim == 1 and settings.window:
-                        part = [c for c in part if dtw.envelope_bound(v, values[c], settings) <= limit]
+                        near = dtw.envelope_bounds(v, [values[c] for c in part], settings) <= limit
+                        part = [c for c, use in zip(part, near.tolist(), strict=True) if use]
                     s = settings if limit is None else settings.with_(max_dist=limit)
                     found = dtw.distances([v] * len(part), [values[c] for c in part], s)
                     for c, d in zip(part, found.tolist(), strict=True):
