@@ -34,7 +34,7 @@ def register(spark: SparkSession) -> list[str]:
 
     @F.pandas_udf("double")
     def ts_msm(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([measures.move_split_merge(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
+        return pd.Series(measures.split_merge_all(list(a), list(b)))
 
     @F.pandas_udf("double")
     def ts_nw_score(a: pd.Series, b: pd.Series) -> pd.Series:

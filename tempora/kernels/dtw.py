@@ -111,7 +111,7 @@ class Sweep:
                     self.a, self.b, self.r, self.c = self.a[..., alive], self.b[..., alive], self.r[alive], self.c[alive]
                     previous, current, scratch = previous[:, alive], current[:, alive], scratch[alive]
                     row_tail, column_tail, at = row_tail[:, alive], column_tail[:, alive], np.arange(len(held))
-            cost = row_costs(self.a[i], self.b, s)
+            cost = self.costs(i)
             if step is not None:
                 cost = np.where(cost > step, INF, cost)
             if s.window:
@@ -144,6 +144,10 @@ class Sweep:
             row_tail, column_tail = tails
         self._finish(row_tail, column_tail)
 
+    def costs(self, i: int) -> np.ndarray:
+        """Point costs of row i: columns x pairs."""
+        return row_costs(self.a[i], self.b, self.s)
+
     def _tails(self, i: int, row: np.ndarray, row_tail: np.ndarray, column_tail: np.ndarray, end1: int, end2: int, at: np.ndarray) -> None:
         """column_tail: least of the last column over rows within end1 of the last; row_tail: of the last row. Later cells win ties."""
         value = row[self.c, at]

@@ -6,7 +6,8 @@ from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
 
-from tempora.kernels.dtw import INF
+from tempora.kernels.dtw import BATCH_PAIRS, INF, Sweep, stacked
+from tempora.settings import DistanceSettings
 
 
 def move_split_merge(x: Sequence[float], y: Sequence[float], cost: float = 0.1) -> float:
@@ -33,6 +34,45 @@ def move_split_merge(x: Sequence[float], y: Sequence[float], cost: float = 0.1)
     return row[-1]
 
 
+def split_merge_all(first: Sequence, second: Sequence, cost: float = 0.1) -> np.ndarray:
+    """move_split_merge() of each pair, in order; pairs of equal lengths are worked on together."""
+    out = np.full(len(first), INF)
+    alike: dict[tuple[int, int], list[int]] = {}
+    for k, (a, b) in enumerate(zip(first, second, strict=True)):
+        alike.setdefault((len(a), len(b)), []).append(k)
+    for (n, m), members in alike.items():
+        if not n or not m:
+            out[members] = INF if n or m else 0.0
+            continue
+        for at in range(0, len(members), BATCH_PAIRS):
+            part = members[at : at + BATCH_PAIRS]
+            out[part] = _split_merge(stacked([first[k] for k in part], 1)[0], stacked([second[k] for k in part], 1)[0], cost)
+    return out
+
+
+def _split_merge(x: np.ndarray, y: np.ndarray, cost: float) -> np.ndarray:
+    """The recurrence for pairs of one length each: values are time x pairs."""
+
+    def change(v: np.ndarray, near: np.ndarray, far: np.ndarray) -> np.ndarray:
+        outside = np.minimum(np.abs(v - near), np.abs(v - far))
+        between = (np.minimum(near, far) <= v) & (v <= np.maximum(near, far))
+        return cost + np.where(between, 0.0, outside)
+
+    row = np.empty_like(y)
+    row[0] = np.abs(x[0] - y[0])
+    for j in range(1, len(y)):
+        row[j] = row[j - 1] + change(y[j], y[j - 1], x[0])
+    for i in range(1, len(x)):
+        along = np.minimum(row[:-1] + np.abs(x[i] - y[1:]), row[1:] + change(x[i], x[i - 1], y[1:]))
+        split = change(y[1:], x[i], y[:-1])
+        now = np.empty_like(row)
+        now[0] = row[0] + change(x[i], x[i - 1], y[0])
+        for j in range(1, len(y)):
+            np.minimum(along[j - 1], now[j - 1] + split[j - 1], out=now[j])
+        row = now
+    return row[-1]
+
+
 def weighted_points(diff: np.ndarray, knots: np.ndarray) -> np.ndarray:
     """Differences reshaped by one position's knots, stored from far negative to far positive.
 
@@ -67,6 +107,25 @@ def weighted_distance(a: Sequence[float], b: Sequence[float], weights: np.ndarra
     return float(np.sqrt(weighted_table(a, b, weights, window)[-1, -1]))
 
 
+class WeightedSweep(Sweep):
+    """Weighted warping of batches: every point holds its value and then its eight knots."""
+
+    def costs(self, i: int) -> np.ndarray:
+        return weighted_points(self.a[i, 0] - self.b[:, 0], self.a[i, 1:]) ** 2
+
+
+def weighted_all(first: Sequence, second: Sequence, window: int | None = None) -> np.ndarray:
+    """For each pair of such series the smaller of both directions, each weighted by the series it goes from."""
+    out, settings = np.full(len(first), INF), DistanceSettings(window=window)
+    size = np.array([len(a) * 100_000 + len(b) for a, b in zip(first, second, strict=True)], np.int64)
+    order = np.argsort(size, kind="stable")
+    for at in range(0, len(order), BATCH_PAIRS):
+        part = order[at : at + BATCH_PAIRS]
+        a, b = [first[k] for k in part], [second[k] for k in part]
+        out[part] = np.minimum(WeightedSweep(a, b, settings).distances(), WeightedSweep(b, a, settings).distances())
+    return out
+
+
 def substitution(scores: Mapping[tuple[str, str], float], gap: float = 1.0, best: str = "max") -> Callable[[object, object], tuple[float, float]]:
     """A pair cost from a table of scores, looked up in either order; `best` tells whether high scores are good."""
     sign = -1.0 if best == "max" else 1.0

@@ -86,7 +86,7 @@ def barycenter(series: DataFrame, start: Sequence | None = None, max_it: int = 1
 
 def medoid(pairs: DataFrame) -> DataFrame:
     """(series_id, total): the series with the least sum of distances; the smaller id on ties."""
-    both = pairs.select(F.col("i").alias("series_id"), "distance").unionByName(pairs.select(F.col("j").alias("series_id"), "distance"))
+    both = pairs.select(F.explode(F.array("i", "j")).alias("series_id"), "distance")
     return both.groupBy("series_id").agg(F.sum("distance").alias("total")).orderBy("total", "series_id").limit(1)
 
 

@@ -14,6 +14,7 @@ from tempora.kernels import dtw
 from tempora.operators import average, pairwise
 from tempora.operators.pairwise import _values
 from tempora.settings import DistanceSettings
+from tempora.sources.interim import written
 
 #: Series whose merges are kept on the driver.
 MAX_MERGED = 200_000
@@ -112,23 +113,24 @@ def to_dot(rows: list[tuple[int, int, int, float, int]], n: int) -> str:
 
 
 def k_medoids(pairs: DataFrame, medoids: list[int], max_it: int = 20) -> tuple[DataFrame, list[int]]:
-    """(series_id, cluster) with the medoid as cluster, and the medoids. Alternates assignment and choice of medoids; infinite distances count as 0."""
+    """(series_id, cluster) with the medoid as cluster, and the medoids. Alternates assignment and choice of medoids; infinite distances count as 0.
+
+    The pairs are written once: every round and the result read them.
+    """
+    pairs = written(pairs)
     d = F.when(F.col("distance") == math.inf, 0.0).otherwise(F.col("distance")).alias("distance")
     both = pairs.select("i", "j", d).unionByName(pairs.select(F.col("j").alias("i"), F.col("i").alias("j"), d))
     ids = both.select("i").distinct()
-    both = both.unionByName(ids.select("i", F.col("i").alias("j"), F.lit(0.0).alias("distance"))).persist()
-    try:
-        for _ in range(max_it):
-            assigned = both.where(F.col("j").isin(medoids)).groupBy("i").agg(F.min(F.struct("distance", "j")).alias("m")).select("i", F.col("m.j").alias("cluster"))
-            inner = both.join(assigned, "i").join(assigned.select(F.col("i").alias("j"), F.col("cluster").alias("other")), "j").where("cluster = other")
-            best = inner.groupBy("cluster", "i").agg(F.sum("distance").alias("t")).groupBy("cluster").agg(F.min(F.struct("t", "i")).alias("m"))
-            new = sorted(r[0] for r in best.select("m.i").collect())  # one row a cluster
-            if new == sorted(medoids):
-                break
-            medoids = new
-        return assigned.select(F.col("i").alias("series_id"), "cluster"), medoids
-    finally:
-        both.unpersist()
+    both = both.unionByName(ids.select("i", F.col("i").alias("j"), F.lit(0.0).alias("distance")))
+    for _ in range(max_it):
+        assigned = both.where(F.col("j").isin(medoids)).groupBy("i").agg(F.min(F.struct("distance", "j")).alias("m")).select("i", F.col("m.j").alias("cluster"))
+        inner = both.join(assigned, "i").join(assigned.select(F.col("i").alias("j"), F.col("cluster").alias("other")), "j").where("cluster = other")
+        best = inner.groupBy("cluster", "i").agg(F.sum("distance").alias("t")).groupBy("cluster").agg(F.min(F.struct("t", "i")).alias("m"))
+        new = sorted(r[0] for r in best.select("m.i").collect())  # one row a cluster
+        if new == sorted(medoids):
+            break
+        medoids = new
+    return assigned.select(F.col("i").alias("series_id"), "cluster"), medoids
 
 
 def medoid_centers(series: DataFrame, k: int, settings: DistanceSettings = DistanceSettings(), sample: int = 200) -> list:

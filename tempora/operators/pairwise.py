@@ -147,7 +147,7 @@ def euclidean_distances(series: DataFrame, settings: DistanceSettings = Distance
 
 
 def split_merge_distances(series: DataFrame, cost: float = 0.1, block: Rectangle | None = None) -> DataFrame:
-    return block_pairs(series, None, lambda a, b: [measures.move_split_merge(x, y, cost) for x, y in zip(a, b, strict=True)], "distance double", block)
+    return block_pairs(series, None, lambda a, b: measures.split_merge_all(a, b, cost), "distance double", block)
 
 
 def weighted_distances(series: DataFrame, weights: DataFrame | dict[int, Sequence], window: int | None = None) -> DataFrame:
@@ -162,10 +162,7 @@ def weighted_distances(series: DataFrame, weights: DataFrame | dict[int, Sequenc
     points = F.zip_with("values", "knots", lambda x, k: F.concat(F.array(x), k))
     tagged = series.select("series_id", "values").join(weights.select("series_id", "knots"), "series_id").select("series_id", points.alias("values"))
 
-    def one(x: np.ndarray, y: np.ndarray) -> float:
-        return min(measures.weighted_distance(x[:, 0], y[:, 0], x[:, 1:], window), measures.weighted_distance(y[:, 0], x[:, 0], y[:, 1:], window))
-
-    return block_pairs(tagged, None, lambda a, b: [one(x, y) for x, y in zip(a, b, strict=True)], "distance double")
+    return block_pairs(tagged, None, lambda a, b: measures.weighted_all(a, b, window), "distance double")
 
 
 def alignment_scores(strings: DataFrame, scores: dict[tuple[str, str], float] | None = None, gap: float = 1.0) -> DataFrame:

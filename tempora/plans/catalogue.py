@@ -12,6 +12,7 @@ from tempora.operators import pairwise
 from tempora.plans import oracle, tables
 from tempora.settings import DistanceSettings
 from tempora.sources import series
+from tempora.sources.interim import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -231,10 +232,10 @@ def alignment_pairs(spark, sf_dir):
     return rounded(pairwise.alignment_scores(tables.names(spark, sf_dir)), "score")
 
 
-@query(oracle.all_pairs("slots", f"sqrt(list_last({oracle.last_row()}))").replace("SELECT i, j,", "SELECT i, j, (i * 120 - i * (i + 1) // 2 + (j - i - 1))::BIGINT AS place,"))
+@query(oracle.all_pairs("slots", f"sqrt(list_last({oracle.last_row()}))").replace("SELECT i, j,", "SELECT i, j, (i * (SELECT count(*) FROM s) - i * (i + 1) // 2 + (j - i - 1))::BIGINT AS place,"))
 def condensed_matrix(spark, sf_dir):
-    d = _dtw("slots")(spark, sf_dir)
-    return d.select("i", "j", columns.condensed_index(F.col("i"), F.col("j"), 120).alias("place"), "distance")
+    d, n = _dtw("slots")(spark, sf_dir), tables.slots(spark, sf_dir).count()
+    return d.select("i", "j", columns.condensed_index(F.col("i"), F.col("j"), n).alias("place"), "distance")
 
 
 # ---- similarities
@@ -244,10 +245,9 @@ _DIST = oracle.all_pairs("slots", f"sqrt(list_last({oracle.last_row()}))")
 
 def _similar(method: str):
     def f(spark, sf_dir):
-        d = pairwise.distances(tables.slots(spark, sf_dir))
-        r = columns.default_range(method, F.min("distance"), F.max("distance"))
-        bound = d.agg(r.alias("r"))
-        return rounded(d.join(F.broadcast(bound)).select("i", "j", columns.similarity(F.col("distance"), method, F.col("r")).alias("similarity")), "similarity")
+        d = written(pairwise.distances(tables.slots(spark, sf_dir)))
+        r = d.agg(columns.default_range(method, F.min("distance"), F.max("distance"))).first()[0]
+        return rounded(d.select("i", "j", columns.similarity(F.col("distance"), method, F.lit(r)).alias("similarity")), "similarity")
 
     return f
 
@@ -260,11 +260,11 @@ for _name, _formula in {"exponential": "exp(-distance / (max(distance) OVER ()))
 
 def _squashed(method: str):
     def f(spark, sf_dir):
-        d = pairwise.distances(tables.slots(spark, sf_dir))
-        middle = F.broadcast(d.agg(F.avg("distance").alias("x0")))
-        x0 = F.col("x0") if method == "logistic" else F.lit(0.0)
-        r = F.col("x0") / 6 if method == "logistic" else F.col("x0")
-        return rounded(d.join(middle).select("i", "j", columns.squash(F.col("distance"), method, r, x0).alias("squashed")), "squashed")
+        d = written(pairwise.distances(tables.slots(spark, sf_dir)))
+        middle = F.lit(d.agg(F.avg("distance")).first()[0])
+        x0 = middle if method == "logistic" else F.lit(0.0)
+        r = middle / 6 if method == "logistic" else middle
+        return rounded(d.select("i", "j", columns.squash(F.col("distance"), method, r, x0).alias("squashed")), "squashed")
 
     return f
 
@@ -333,10 +333,11 @@ def local_concurrences(spark, sf_dir):
 
 def _high(s: DataFrame) -> DataFrame:
     """Runs of three hours that begin with a high value, as segments."""
-    return s.select("series_id", F.posexplode("values").alias("begin", "x")).where("x > 150").select("series_id", "begin", F.least(F.col("begin") + 2, F.lit(719)).alias("end"))
+    points = s.select("series_id", (F.size("values") - 1).alias("last"), F.posexplode("values").alias("begin", "x"))
+    return points.where("x > 150").select("series_id", "begin", F.least(F.col("begin") + 2, F.col("last")).alias("end"))
 
 
-_SEG = f"WITH {oracle.series('hourly')}, g AS (SELECT id, b - 1 AS b, least(b + 1, 719) AS e FROM (SELECT id, unnest(v) AS x, generate_subscripts(v, 1) AS b FROM s) WHERE x > 150), c AS (SELECT DISTINCT id, unnest(range(b, e + 1)) AS p FROM g)"
+_SEG = f"WITH {oracle.series('hourly')}, g AS (SELECT id, b - 1 AS b, least(b + 1, n - 1) AS e FROM (SELECT id, len(v) AS n, unnest(v) AS x, generate_subscripts(v, 1) AS b FROM s) WHERE x > 150), c AS (SELECT DISTINCT id, unnest(range(b, e + 1)) AS p FROM g)"
 
 
 @query(f"{_SEG} SELECT s.id AS series_id, count(c.p) AS covered, round(count(c.p) / len(any_value(s.v)), 6) AS coverage FROM s LEFT JOIN c ON s.id = c.id GROUP BY s.id")
@@ -372,21 +373,37 @@ def barycenter(spark, sf_dir):
     return spark.createDataFrame([(p, float(x)) for p, x in enumerate(center)], "pos int, value double")
 
 
-@query()
+_D = f"WITH RECURSIVE d AS MATERIALIZED ({_EXACT}), n AS (SELECT 24 * count(DISTINCT event_type) AS n FROM events)"
+_TREE = 'SELECT (step - 1)::INT AS step, l::INT AS "left", r::INT AS "right", round(distance, 6) AS distance, total::INT AS size FROM st WHERE step > 0'
+_MERGED = f"""{_D}, st AS (SELECT 0 AS step, n, range(n) AS node, list_transform(range(n), lambda x: 1::BIGINT) AS size, []::BIGINT[] AS gone, 0::BIGINT AS l, 0::BIGINT AS r, 0::DOUBLE AS distance, 0::BIGINT AS total FROM n UNION ALL
+SELECT step + 1, n, list_transform(node, lambda x, k: CASE WHEN k = i + 1 THEN n + step ELSE x END), list_transform(size, lambda x, k: CASE WHEN k = i + 1 THEN x + size[j + 1] ELSE x END), list_append(gone, j), node[i + 1], node[j + 1], distance, size[i + 1] + size[j + 1]
+FROM (SELECT st.step, st.n, st.node, st.size, st.gone, d.i, d.j, d.distance FROM st, d WHERE NOT list_contains(gone, i) AND NOT list_contains(gone, j) ORDER BY d.distance, d.i, d.j LIMIT 1)) {_TREE}"""
+_LINKED = f"""{_D}, st AS (SELECT 0 AS step, n, range(n) AS label, 0::BIGINT AS l, 0::BIGINT AS r, 0::DOUBLE AS distance, 0::BIGINT AS total FROM n UNION ALL
+SELECT step + 1, n, list_transform(label, lambda x: CASE WHEN x = p OR x = q THEN n + step ELSE x END), p, q, m, len(list_filter(label, lambda x: x = p OR x = q))
+FROM (SELECT step, n, label, least(la, lb) AS p, greatest(la, lb) AS q, max(distance) AS m FROM (SELECT st.step, st.n, st.label, label[i + 1] AS la, label[j + 1] AS lb, d.distance FROM st, d) WHERE la <> lb GROUP BY ALL ORDER BY m, p, q LIMIT 1)) {_TREE}"""
+_MEDOIDS = f"""{_D}, ways AS MATERIALIZED (SELECT i, j, distance FROM d UNION ALL SELECT j, i, distance FROM d UNION ALL SELECT x, x, 0 FROM (SELECT unnest(range(n)) AS x FROM n)),
+st AS (SELECT 0 AS step, [0, 24, 48, 72, 96]::BIGINT[] AS medoids, []::BIGINT[] AS home, false AS done UNION ALL
+SELECT step + 1, list(m ORDER BY m), home, list(m ORDER BY m) = old FROM (SELECT step, old, home, c, arg_min(x, t) AS m FROM (SELECT step, old, home, home[i + 1] AS c, i AS x, sum(distance) AS t
+FROM (SELECT step, medoids AS old, list(c ORDER BY x) AS home FROM (SELECT step, medoids, i AS x, arg_min(j, distance) AS c FROM st, ways WHERE list_contains(medoids, j) AND NOT done AND step < 20 GROUP BY ALL) GROUP BY ALL), ways
+WHERE home[i + 1] = home[j + 1] GROUP BY ALL) GROUP BY ALL) GROUP BY step, old, home)
+SELECT unnest(range(len(home))) AS series_id, unnest(home) AS cluster FROM (SELECT home FROM st ORDER BY step DESC LIMIT 1)"""
+
+
+@query(_MERGED)
 def hierarchical(spark, sf_dir):
     _, merges = cluster.agglomerate(pairwise.distances(tables.slots(spark, sf_dir)))
-    rows = cluster.tree_of(merges, 120)
-    return spark.createDataFrame(rows, "step int, left int, right int, distance double, size int")
+    rows = cluster.tree_of(merges, tables.slot_count(spark, sf_dir))
+    return rounded(spark.createDataFrame(rows, "step int, left int, right int, distance double, size int"))
 
 
-@query()
+@query(_LINKED)
 def linkage_complete(spark, sf_dir):
-    d = pairwise.matrix(pairwise.distances(tables.slots(spark, sf_dir)), 120)
+    d = pairwise.matrix(pairwise.distances(tables.slots(spark, sf_dir)), tables.slot_count(spark, sf_dir))
     rows = [(n, int(a), int(b), float(x), int(k)) for n, (a, b, x, k) in enumerate(cluster.linkage(d))]
-    return spark.createDataFrame(rows, "step int, left int, right int, distance double, size int")
+    return rounded(spark.createDataFrame(rows, "step int, left int, right int, distance double, size int"))
 
 
-@query()
+@query(_MEDOIDS)
 def k_medoids(spark, sf_dir):
     return cluster.k_medoids(pairwise.distances(tables.slots(spark, sf_dir)), [0, 24, 48, 72, 96])[0]
 
@@ -456,6 +473,53 @@ def warped_series(spark, sf_dir):
     return average.warp(_paths_with_series(spark, sf_dir)).select("i", "j", F.posexplode("values").alias("pos", "value"))
 
 
+_FLAT = f"{oracle.series('vectors')}, p AS (SELECT x.id AS i, y.id AS j, list_transform(x.v, lambda z: z[1]) AS a, list_transform(y.v, lambda z: z[1]) AS b FROM s x JOIN s y ON x.id < y.id), {oracle.best_paths('p')}"
+
+
+def _vector_paths(spark, sf_dir) -> DataFrame:
+    s = tables.vectors(spark, sf_dir).withColumn("values", F.transform("values", lambda v: v[0]))
+    return _with_series(pairwise.paths(s), s)
+
+
+@query(f"WITH RECURSIVE {_FLAT} SELECT i, j, (max(k) OVER (PARTITION BY i, j) - k)::INT AS pos, (r - 1)::INT AS at_i, (c - 1)::INT AS at_j FROM w")
+def best_paths(spark, sf_dir):
+    """The steps of every pair's cheapest path."""
+    return _vector_paths(spark, sf_dir).select("i", "j", F.posexplode("path").alias("pos", "p")).select("i", "j", "pos", F.col("p.i").alias("at_i"), F.col("p.j").alias("at_j"))
+
+
+@query(f"WITH RECURSIVE {_FLAT} SELECT w.i, w.j, (c - 1)::INT AS pos, round(avg(a[r]), 6) AS value FROM w JOIN t ON w.i = t.i AND w.j = t.j GROUP BY w.i, w.j, c")
+def warped_vectors(spark, sf_dir):
+    """Every series warped onto the others, with its points."""
+    return rounded(average.warp(_vector_paths(spark, sf_dir)).select("i", "j", F.posexplode("values").alias("pos", "value")), "value")
+
+
+@query(f"WITH RECURSIVE {oracle.series('slots')}, p AS (SELECT s.id AS i, o.id AS j, s.v AS a, o.v AS b FROM s, (SELECT * FROM s ORDER BY id LIMIT 1) o), {oracle.best_paths('p')} SELECT (c - 1)::INT AS pos, round(avg(a[r]), 6) AS value FROM w JOIN t ON w.i = t.i AND w.j = t.j GROUP BY c")
+def barycenter_step(spark, sf_dir):
+    """One round of averaging, from the first series."""
+    s = tables.slots(spark, sf_dir)
+    center = average.step(s, {0: np.array(s.orderBy("series_id").first()["values"])})[0]
+    return rounded(spark.createDataFrame([(p, float(x)) for p, x in enumerate(center)], "pos int, value double"), "value")
+
+
+#: Knots of one point's weight, from far negative to far positive differences.
+KNOTS = (400.0, 150.0, 60.0, 5.0, 10.0, 50.0, 200.0, 500.0)
+
+
+def _weigh(d: str) -> str:
+    def side(u: str, v0: float, v1: float, v2: float, v3: float) -> str:
+        return f"CASE WHEN {u} <= {v0} THEN 0 WHEN {u} < {v1} THEN {u} * ({u} - {v0}) / {v1 - v0} WHEN {u} < {v2} THEN {u} ELSE {u} * (1 + 2 * ({u} - {v2}) / {v3 - v2}) END"
+
+    return f"(CASE WHEN {d} < 0 THEN {side(f'-({d})', *KNOTS[3::-1])} ELSE {side(f'({d})', *KNOTS[4:])} END) ** 2"
+
+
+@query(oracle.all_pairs("slots", f"sqrt(least(list_last({oracle.last_row(cost=_weigh('(x - y)'))}), list_last({oracle.last_row(a='b', b='a', cost=_weigh('(x - y)'))})))"))
+def weighted_pairs(spark, sf_dir):
+    """The smaller weighted distance of both directions, with the same knots at each point."""
+    s = tables.slots(spark, sf_dir)
+    knots = s.select("series_id", F.transform("values", lambda x: F.array(*map(F.lit, KNOTS))).alias("knots"))
+    return rounded(pairwise.weighted_distances(s, knots))
+
+
 @query()
 def path_segments(spark, sf_dir):
     return symbolize.explanations(tables.slots(spark, sf_dir))
@@ -470,7 +534,7 @@ def symbols_cover(spark, sf_dir):
     return symbolize.codes(tables.slots(spark, sf_dir), book)
 
 
-_CODES = f"WITH {oracle.series('hourly')}, x AS (SELECT id, p, c, lead(c) OVER w AS n, p - row_number() OVER (PARTITION BY id, c ORDER BY p) AS k FROM (SELECT id, generate_subscripts(v, 1) - 1 AS p, CASE WHEN unnest(v) > 60 THEN 1 ELSE 0 END AS c FROM s) WINDOW w AS (PARTITION BY id ORDER BY p)), r AS (SELECT id, c, min(p) AS b, max(p) + 1 AS e FROM x GROUP BY id, c, k), l AS (SELECT *, lag(c) OVER (PARTITION BY id ORDER BY b) AS last FROM r WHERE e - b >= 4 AND e < 720)"
+_CODES = f"WITH {oracle.series('hourly')}, x AS (SELECT id, size, p, c, lead(c) OVER w AS n, p - row_number() OVER (PARTITION BY id, c ORDER BY p) AS k FROM (SELECT id, len(v) AS size, generate_subscripts(v, 1) - 1 AS p, CASE WHEN unnest(v) > 60 THEN 1 ELSE 0 END AS c FROM s) WINDOW w AS (PARTITION BY id ORDER BY p)), r AS (SELECT id, size, c, min(p) AS b, max(p) + 1 AS e FROM x GROUP BY id, size, c, k), l AS (SELECT *, lag(c) OVER (PARTITION BY id ORDER BY b) AS last FROM r WHERE e - b >= 4 AND e < size)"
 
 
 @query(f"{_CODES} SELECT id AS series_id, (c + 1)::BIGINT AS symbol, b AS \"begin\", e AS \"end\" FROM l WHERE last IS NULL OR last <> c")

@@ -39,3 +39,16 @@ def nested_last_row(d: str) -> str:
 
 def all_pairs(name: str, value: str, column: str = "distance", condition: str = "x.id < y.id", where: str = "") -> str:
     return f"WITH {pairs(name, condition)} SELECT i, j, round({value}, 6) AS {column} FROM p{where}"
+
+
+#: A distance's cost table in full, border first: rows of a list of lists.
+TABLE = f"list_reduce(list_transform(a, lambda x: [[x::DOUBLE]]), lambda made, cur: list_append(made, list_reduce(list_transform(range(1, len(b) + 1), lambda k: [k::DOUBLE]), lambda row, q: list_append(row, (cur[1][1] - b[q[1]::INT]) * (cur[1][1] - b[q[1]::INT]) + least(list_last(made)[q[1]::INT], list_last(made)[q[1]::INT + 1], list_last(row))), [{INF}])), [list_prepend(0.0::DOUBLE, list_transform(b, lambda x: {INF}))])"
+
+
+def best_paths(source: str) -> str:
+    """CTEs up to w (i, j, k, r, c): steps of the cheapest paths of source's pairs (i, j, a, b), from 1, the last step first."""
+    diagonal, up, left = "t[r][c]", "t[r][c + 1]", "t[r + 1][c]"
+    corner = f"{diagonal} <= {up} AND {diagonal} <= {left}"
+    return f"""t AS MATERIALIZED (SELECT i, j, a, b, {TABLE} AS t FROM {source}),
+w AS (SELECT i, j, 0 AS k, len(a) AS r, len(b) AS c FROM t UNION ALL
+SELECT w.i, w.j, k + 1, CASE WHEN {corner} OR {up} <= {left} THEN r - 1 ELSE r END, CASE WHEN {corner} OR NOT {up} <= {left} THEN c - 1 ELSE c END FROM w JOIN t ON w.i = t.i AND w.j = t.j WHERE r > 1 AND c > 1 OR r = 1 AND c > 1 AND NOT ({corner} OR {up} <= {left}) OR c = 1 AND r > 1 AND NOT ({corner}) AND {up} <= {left})"""
