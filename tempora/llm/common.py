@@ -24,10 +24,10 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/tempora-{uuid.uuid4().hex}"
 
 
-def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+def written(spark: SparkSession, df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """df, written to the shared folder and read again: cuts the lineage durably."""
     path = f"{shared_dir(spark)}/{name}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     out = spark.read.schema(df.schema).parquet(path)
     out._tempora_path = path
     return out

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempora.llm.common import table, written
+from tempora.llm.common import quoted, table, written
 
 WINDOW, MAX_WINDOWS = 8, 200_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -109,14 +109,21 @@ def hit_positions(docs: DataFrame, windows: DataFrame, keep: list[str], shuffled
 HIT_WORDS = "array_distinct(flatten(transform(__hits, h -> sequence(h.at, h.at + h.n - 1))))"
 
 
+#: Columns that contamination() makes or works with.
+MADE = {"n_words", "n_hit", "n_items", "items_sha256", "contaminated", "item", "window", "__words", "__hits", "__met", "__at_row", "__windows", "__items", "__row", "__clean", "__original", "__gaps"}
+
+
 def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id",), clean: bool = False, shuffled: bool = False) -> DataFrame:
     """keep, n_words, n_hit, n_items, items_sha256, contaminated; one row for each of docs.
 
     With `clean`, also __clean: the text without its hit words and what follows each of them,
     null where nothing was hit. With `shuffled`, more than MAX_WINDOWS windows are joined by a
     shuffle instead of an error. Items are joined to numbered rows that were written to the
-    shared folder, so nothing is scanned twice and repeated rows stay apart.
+    shared folder, so nothing is scanned twice and repeated rows stay apart. Names of what is
+    returned can't be kept.
     """
+    if clash := MADE & {c.lower() for c in keep}:
+        raise ValueError(f"rename {sorted(clash)} first")
     windows = benchmark_windows(benchmark)
     columns = [*keep, "text"] if clean and "text" not in keep else [*keep]
     rows = hit_positions(docs, windows, columns, shuffled)
@@ -142,9 +149,12 @@ def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, ke
 def decontaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without contaminated documents; documents hit by one item alone lose the words that were hit."""
     names = docs.columns
-    checked = contamination(spark, docs, benchmark, tuple(names), clean=True, shuffled=True).where(~F.col("contaminated"))
+    # columns of any names: only the text keeps its own
+    own = {c: "text" if c == "text" else f"__kept{k}" for k, c in enumerate(names)}
+    rows = docs.select(*[c.alias(n) for c, n in zip(quoted(names), own.values(), strict=True)])
+    checked = contamination(spark, rows, benchmark, tuple(own.values()), clean=True, shuffled=True).where(~F.col("contaminated"))
     checked = checked.withColumn("text", F.coalesce("__clean", "text"))
-    return checked.select(*[F.length("text").cast("long").alias("n_chars") if c == "n_chars" else F.col(c) for c in names])
+    return checked.select(*[F.length("text").cast("long").alias("n_chars") if c == "n_chars" else F.col(n).alias(c) for c, n in own.items()])
 
 
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

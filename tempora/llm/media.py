@@ -8,7 +8,9 @@ confirmed file that lies within the bytes is carved out with its place.
 
 Defined results: null and empty texts are stored as one unit of padding; an unknown or
 damaged form sniffs as application/octet-stream and nothing is carved from damaged files;
-repeated rows are stored each; equal inputs give equal values.
+media that are null or hold no whole stored payload have no payload columns (null) and are
+digested as they are; repeated rows are stored each; equal inputs give equal values; an empty
+table gives no row; other columns are not read.
 """
 
 from __future__ import annotations
@@ -16,19 +18,23 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from bisect import bisect_left
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tempora.llm.common import stream, table
+from tempora.llm.common import stream, table, written
 
 #: Payloads are padded with this byte to a positive multiple of this many bytes.
 UNIT, FILL = 576, b"\xff"
 #: Samples a second that the header of a stored payload declares.
 SAMPLE_RATE = 8000
 UNKNOWN = "application/octet-stream"
+#: Bytes that are unpacked at a time.
+PIECE = 4096
 
 
 @dataclass(frozen=True)
@@ -79,7 +85,7 @@ def png(data: bytes, at: int) -> int:
     i, first = at + 8, True
     while i + 12 <= len(data):
         n, name = struct.unpack_from(">I4s", data, i)
-        if i + 12 + n > len(data) or first != (name == b"IHDR") or struct.unpack_from(">I", data, i + 8 + n)[0] != zlib.crc32(data[i + 4 : i + 8 + n]):
+        if i + 12 + n > len(data) or first != (name == b"IHDR") or first and n != 13 or struct.unpack_from(">I", data, i + 8 + n)[0] != zlib.crc32(data[i + 4 : i + 8 + n]):
             return 0
         i, first = i + 12 + n, False
         if name == b"IEND":
@@ -137,30 +143,54 @@ def bmp(data: bytes, at: int) -> int:
 def gzipped(data: bytes, at: int) -> int:
     if at + 18 > len(data) or data[at + 3] & 0xE0:
         return 0
-    unpack = zlib.decompressobj(31)
+    unpack, i = zlib.decompressobj(31), at
     try:
-        rest = data[at:]
-        while rest and not unpack.eof:  # a bounded window: what comes out isn't kept
-            unpack.decompress(rest, 1 << 16)
-            rest = unpack.unconsumed_tail
+        while i < len(data) and not unpack.eof:  # piece by piece: damaged data end it early, and what comes out isn't kept
+            rest, i = data[i : i + PIECE], i + PIECE
+            while rest and not unpack.eof:
+                unpack.decompress(rest, 1 << 16)
+                rest = unpack.unconsumed_tail
     except zlib.error:
         return 0
-    return len(data) - at - len(unpack.unused_data) if unpack.eof else 0
+    return min(i, len(data)) - at - len(unpack.unused_data) if unpack.eof else 0
+
+
+def places(data: bytes, mark: bytes) -> list[int]:
+    """Where the mark stands; its callers look it up once for all files that a blob may hold."""
+    out, at = [], data.find(mark)
+    while at >= 0:
+        out.append(at)
+        at = data.find(mark, at + 1)
+    return out
+
+
+@lru_cache(maxsize=1)
+def pdf_ends(data: bytes) -> tuple[list[int], list[int]]:
+    return places(data, b"%%EOF"), places(data, b"startxref")
 
 
 def pdf(data: bytes, at: int) -> int:
-    end = data.find(b"%%EOF", at)
-    return end + 5 - at if end >= 0 and data.find(b"startxref", at, end) >= 0 else 0
+    ends, tables = pdf_ends(data)
+    k, x = bisect_left(ends, at), bisect_left(tables, at)
+    return ends[k] + 5 - at if k < len(ends) and x < len(tables) and tables[x] + 9 <= ends[k] else 0
+
+
+@lru_cache(maxsize=1)
+def archives(data: bytes) -> dict[int, int]:
+    """Begin and end of what the end records of archives speak of: the first whole one for each begin."""
+    out: dict[int, int] = {}
+    for end in places(data, b"PK\x05\x06"):
+        if end + 22 > len(data):
+            continue
+        size, begin, note = struct.unpack_from("<IIH", data, end + 12)
+        at = end - begin - size
+        if at >= 0 and end + 22 + note <= len(data) and (not size or data[at + begin : at + begin + 4] == b"PK\x01\x02"):
+            out.setdefault(at, end + 22 + note)
+    return out
 
 
 def zipped(data: bytes, at: int) -> int:
-    end = data.find(b"PK\x05\x06", at)
-    while end >= 0 and end + 22 <= len(data):
-        size, begin, note = struct.unpack_from("<IIH", data, end + 12)
-        if begin + size == end - at and (not size or data[at + begin : at + begin + 4] == b"PK\x01\x02"):
-            return end + 22 + note - at if end + 22 + note <= len(data) else 0
-        end = data.find(b"PK\x05\x06", end + 1)
-    return 0
+    return archives(data).get(at, at) - at
 
 
 def ogg(data: bytes, at: int) -> int:
@@ -254,17 +284,22 @@ def carve(rows: DataFrame) -> DataFrame:
     return stream(rows, ["doc_id", "media"], step, "doc_id long, corrected string, carved array<struct<offset: long, length: long, kind: string, bytes: binary>>", text="media")
 
 
+def read(payload: bytes) -> tuple[int, str, int]:
+    return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:])
+
+
 def digest(media: DataFrame) -> DataFrame:
     """What the stored bytes hold, read back: checksums of the samples and of the stored form, types and carved files."""
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
 
     def step(block: pa.RecordBatch) -> pa.RecordBatch:
         out: list[list] = [[] for _ in range(6)]
-        for declared, data in zip(block.column(2).to_pylist(), block.column(3).to_pylist(), strict=True):
+        for declared, held in zip(block.column(2).to_pylist(), block.column(3).to_pylist(), strict=True):
+            data = held or b""
             kind, inner = true_type(data)
-            payload = load(data)
+            payload = load(data) if kind == "audio/wav" else None
             embedded = ",".join(f"{f.kind}@{f.offset}+{f.length}" for f in inner)
-            for column, value in zip(out, (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(data), hashlib.sha256(data).hexdigest(), f"declared={declared};type={kind};corrected={str(kind != declared).lower()};embedded={embedded}"), strict=True):
+            for column, value in zip(out, (*(read(payload) if payload is not None else (None, None, None)), len(data), hashlib.sha256(data).hexdigest(), f"declared={declared};type={kind};corrected={str(kind != declared).lower()};embedded={embedded}"), strict=True):
                 column.append(value)
         kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
         return pa.RecordBatch.from_arrays([block.column(0), block.column(1), *(pa.array(c, t) for c, t in zip(out, kinds, strict=True))], names)
@@ -273,4 +308,5 @@ def digest(media: DataFrame) -> DataFrame:
 
 
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digest(media_column(table(spark, sf_dir, "documents")))
+    """The media column is written to the shared folder, and what it holds there is digested."""
+    return digest(written(spark, media_column(table(spark, sf_dir, "documents")), "media", "zstd"))

@@ -62,6 +62,29 @@ def test_payloads_come_back(docs_of):
     assert found[0][1:] == found[4][1:]
 
 
+def test_media_that_are_null_or_damaged(spark):
+    schema = "doc_id long, n_bytes long, declared string, media binary, n_tokens long"
+    rows = [(1, 0, "image/png", None, 1), (2, 5, None, bytearray(media.store(b"12345")[:30]), 2), (3, 5, "audio/wav", bytearray(media.store(b"12345")), 3)]
+    found = {r.doc_id: r for r in media.digest(spark.createDataFrame(rows, schema)).collect()}
+    assert [found[k].payload_sha256 for k in (1, 2)] == [None, None] and "type=application/octet-stream" in found[1].feature + found[2].feature
+    assert found[1].media_bytes == 0 and found[2].media_bytes == 30 and found[3].payload_bytes == 5
+    assert media.digest(spark.createDataFrame([], schema)).count() == 0
+
+
+@pytest.mark.parametrize("mark", [b"PK\x03\x04", b"%PDF-", b"\x1f\x8b\x08\0\0\0\0\0\0\0", b"RIFF", b"BM", b"\xff\xd8\xff", b"GIF89a"])
+def test_many_marks_take_time_in_proportion(mark):
+    import time
+
+    begin = time.perf_counter()
+    assert media.sniff(mark * 100_000) == []
+    assert time.perf_counter() - begin < 20
+
+
+def test_several_archives_in_one_blob():
+    data = b"PK\x03\x04 no" + zipped() + b"between" + zipped() + FILES["application/pdf"] * 2
+    assert [(f.kind, f.length) for f in media.sniff(data)] == [("application/zip", len(zipped()))] * 2 + [("application/pdf", len(FILES["application/pdf"]))] * 2
+
+
 def test_carving_a_column(spark):
     rows = spark.createDataFrame([(1, bytearray(media.store(b"x" * 100 + png() + b"y"))), (2, None)], "doc_id long, media binary")
     one, two = media.carve(rows).collect()

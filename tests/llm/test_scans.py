@@ -141,6 +141,19 @@ def test_hit_words_are_cut_out(spark, docs_of, contaminated):
         assert t == texts[k] if flags[k][0] == 0 else len(words_of(t)) == len(words_of(texts[k])) - flags[k][0]
 
 
+def test_columns_of_any_name_and_no_rows(spark):
+    schema = "doc_id long, text string, n_words string, contaminated string, __words string, `a.b` string, `c``d` string"
+    passage = "one two three four five six seven eight"
+    docs = spark.createDataFrame([(1, f"before {passage} after", "w", "c", "x", "y", "z"), (2, None, None, None, None, None, None)], schema)
+    items = spark.createDataFrame([("i", passage)], "item_id string, text string")
+    found = sorted(map(tuple, decontaminate.decontaminated(spark, docs, items).collect()))
+    assert found == [(1, "before after", "w", "c", "x", "y", "z"), (2, None, None, None, None, None, None)]
+    assert decontaminate.decontaminated(spark, docs.limit(0), items).columns == docs.columns
+    assert decontaminate.contamination(spark, docs.limit(0), items).count() == 0
+    with pytest.raises(ValueError):
+        decontaminate.contamination(spark, docs, items, keep=("doc_id", "n_words"))
+
+
 def test_without_a_benchmark_nothing_is_hit(spark, docs_of):
     none = spark.createDataFrame([], "item_id long, text string")
     found = decontaminate.contamination(spark, docs_of([(1, "a b c"), (2, None)]), none).collect()
