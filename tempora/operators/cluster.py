@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Callable, Iterator
 
@@ -20,20 +21,20 @@ from tempora.sources.interim import written
 MAX_MERGED = 200_000
 
 
-def agglomerate(pairs: DataFrame, max_dist: float = math.inf, merge_hook: Callable[[int, int, float], int | None] | None = None) -> tuple[dict[int, set[int]], list[tuple[int, int, float, int]]]:
+def agglomerate(pairs: DataFrame, max_dist: float = math.inf, merge_hook: Callable[[int, int, float], int | None] | None = None, order_hook: Callable[[list[tuple[int, int]]], tuple[int, int]] | None = None) -> tuple[dict[int, set[int]], list[tuple[int, int, float, int]]]:
     """({prototype: members}, merges: (kept, gone, distance, size)).
 
     The closest pair merges, the second into the first, whose distances stand for both. As
     no distance changes, one pass over the pairs in order does it, skipping those of which
-    one is gone; the pass reads them from the cluster piece by piece. A hook may say which of
-    the two stays.
+    one is gone; the pass reads them from the cluster piece by piece. A merge hook may say
+    which of the two stays, an order hook which of several equally close pairs is next; without
+    one it is the pair of the least ids. Pairs of one distance are held together for it.
     """
     members: dict[int, set[int]] = {}
     gone: set[int] = set()
     merges = []
-    for i, j, d in pairs.where(F.col("distance") <= max_dist).orderBy("distance", "i", "j").select("i", "j", "distance").toLocalIterator():
-        if i in gone or j in gone or math.isinf(d):
-            continue
+
+    def merge(i: int, j: int, d: float) -> None:
         if len(gone) >= MAX_MERGED:
             raise ValueError(f"more than {MAX_MERGED} merges")
         kept, lost = i, j
@@ -43,9 +44,42 @@ def agglomerate(pairs: DataFrame, max_dist: float = math.inf, merge_hook: Callab
         members[kept] = group
         gone.add(lost)
         merges.append((kept, lost, d, len(group)))
+
+    near = pairs.where((F.col("distance") <= max_dist) & (F.col("distance") != math.inf)).orderBy("distance", "i", "j").select("i", "j", "distance")
+    if order_hook is None:
+        for i, j, d in near.toLocalIterator():
+            if i not in gone and j not in gone:
+                merge(i, j, d)
+        return members, merges
+    for d, rows in itertools.groupby(near.toLocalIterator(), key=lambda r: r["distance"]):
+        tied = [(r["i"], r["j"]) for r in rows]
+        while tied := [(i, j) for i, j in tied if i not in gone and j not in gone]:
+            merge(*order_hook(tied), d)
     return members, merges
 
 
+def weight_hook(weights: dict[int, float], lengths: dict[int, int]) -> Callable[[int, int, float], int]:
+    """A merge hook that keeps the heavier series, of equal ones the shorter, and adds the other's weight to it."""
+
+    def chosen(i: int, j: int, distance: float) -> int:
+        heavier = (weights[i], -lengths[i]) >= (weights[j], -lengths[j])
+        kept = i if heavier else j
+        weights[kept] = weights[i] + weights[j]
+        return kept
+
+    return chosen
+
+
+def order_hook(weights: dict[int, float]) -> Callable[[list[tuple[int, int]]], tuple[int, int]]:
+    """An order hook that takes the pair of the largest weight, the first of equal ones."""
+    return lambda tied: max(tied, key=lambda p: weights[p[0]] + weights[p[1]])
+
+
+def last_node(rows: list[tuple], n: int) -> int:
+    """The number of a tree's root."""
+    return n + len(rows) - 1
+
+
 def linkage(distances: np.ndarray, method: str = "complete") -> np.ndarray:
     """(n - 1) x 4 rows (left, right, distance, size) by Lance-Williams updates on a dense matrix."""
     n = len(distances)

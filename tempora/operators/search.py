@@ -117,6 +117,16 @@ def concurrences(series: DataFrame, settings: ConcurrenceSettings | None = None,
     return _each(series, work, "series_id long, rank int, begin_i int, end_i int, begin_j int, end_j int, path array<struct<i: int, j: int>>")
 
 
+def similarity_cells(series: DataFrame, settings: ConcurrenceSettings) -> DataFrame:
+    """(series_id, row, col, value): point similarities within each series, `delta` where points aren't alike; in the JVM."""
+    s, at = settings, F.posexplode("values")
+    cells = series.select("series_id", "values", at.alias("row", "x")).select("series_id", "row", "x", at.alias("col", "y"))
+    if s.window:
+        cells = cells.where((F.col("col") >= F.col("row") - s.window) & (F.col("col") < F.col("row") + s.window))
+    alike = F.exp(-s.gamma * (F.col("x") - F.col("y")) * (F.col("x") - F.col("y")))
+    return cells.select("series_id", "row", "col", F.when(alike < s.tau, s.delta).otherwise(alike).alias("value"))
+
+
 def coverage(segments: DataFrame, series: DataFrame) -> DataFrame:
     """(series_id, covered, coverage): points in any of the segments (series_id, begin, end inclusive), and their share."""
     points = segments.select("series_id", F.explode(F.sequence("begin", "end")).alias("p")).distinct().groupBy("series_id").agg(F.count("*").alias("covered"))

@@ -573,6 +573,13 @@ def affinity_tables(spark, sf_dir):
     return t.select("i", "j", F.round(F.array_max(F.transform("table", lambda r: F.array_max(r))), 6).alias("highest"))
 
 
+@query(f"WITH {oracle.series('vectors')}, x AS (SELECT id, k, u, v, unnest(range(len(v))) AS c FROM (SELECT id, k, list_transform(v, lambda z: z[1]) AS v, v[k + 1][1] AS u FROM (SELECT id, v, unnest(range(len(v))) AS k FROM s))) SELECT id AS series_id, k::INT AS row, c::INT AS col, round(CASE WHEN exp(-100.0 * (u - v[c + 1]) ** 2) < 0.5 THEN -1.0 ELSE exp(-100.0 * (u - v[c + 1]) ** 2) END, 6) AS value FROM x WHERE c >= k - 8 AND c < k + 8")
+def similarity_cells(spark, sf_dir):
+    """Point similarities within each series, in a band."""
+    s = tables.vectors(spark, sf_dir).withColumn("values", F.transform("values", lambda v: v[0]))
+    return rounded(search.similarity_cells(s, ConcurrenceSettings(gamma=100.0, tau=0.5, delta=-1.0, delta_factor=0.9, window=8)), "value")
+
+
 @query(oracle.all_pairs("names", _NW, "score").replace(" FROM p", f", round({_NW}, 6) AS along, array_to_string(a, '') AS first, array_to_string(b, '') AS second FROM p"))
 def alignments(spark, sf_dir):
     """Alignments, whichever of equal ones: they spell both strings, and score what the pair does."""

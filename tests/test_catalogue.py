@@ -9,7 +9,7 @@ import pytest
 from tempora.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
-SOME = ("series_build", "derivative", "z_normalise", "ed_ragged", "dtw_dependent", "dtw_independent", "knn_lb_pruned", "segments_coverage", "missing_segments", "hangover_runs", "alignment_pairs", "cost_table_last_rows")
+SOME = ("series_build", "derivative", "z_normalise", "ed_ragged", "dtw_dependent", "dtw_independent", "knn_lb_pruned", "segments_coverage", "missing_segments", "hangover_runs", "alignment_pairs", "cost_table_last_rows", "best_paths", "warped_vectors", "barycenter_step", "similarity_cells", "hangover_runs", "series_calendar")
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")

@@ -9,6 +9,7 @@ import pytest
 
 from tempora.kernels import explain, filters, subsequence, symbols, tree
 from tempora.operators import cluster
+from tempora.settings import ConcurrenceSettings
 
 
 def test_smoothing_known_values():
@@ -143,3 +144,23 @@ def test_linkage_and_agglomeration_rows():
         assert rows[:, 2].tolist() == [1, 2, 9] and rows[-1, 3] == 4
     assert cluster.tree_of([(0, 1, 1.0, 2), (2, 3, 2.0, 2), (0, 2, 9.0, 4)], 4)[-1] == (2, 4, 5, 9.0, 4)
     assert "2 -> 0" in cluster.to_dot(cluster.tree_of([(0, 1, 1.0, 2)], 2), 2)
+
+
+def test_distances_of_match_sets():
+    settings = ConcurrenceSettings(gamma=1.0, tau=0.5, delta=-1.0, delta_factor=0.5, penalty=0.0)
+    c = subsequence.Concurrences([0.0, 1.0, 2.0, 9.0], [0.0, 1.0, 3.0, 5.0, 5.0], settings)
+    paths = [[(0, 0), (1, 1), (2, 2)]]
+    assert c.distance(paths) == 1.0
+    # one of four and two of five points are missed: two times the penalty, and 1 + 9 / 4 as the factor
+    assert c.distance(paths, compensated=True) == pytest.approx(np.sqrt(1 + (1 + 9 * 0.25) * 2))
+    assert c.distance(paths, compensated=True, penalty=3.0, max_factor=None) == pytest.approx(np.sqrt(7))
+    assert c.similarities()[0, 1] == -1.0 and c.similarities()[1, 1] == 1.0
+    assert c.part(slice(1, 3), slice(0, 2)).shape == (2, 2) and (c.part(positive=True) >= 0).all()
+
+
+def test_hooks_choose_by_weight():
+    weights = {0: 1.0, 1: 1.0, 2: 5.0}
+    keep = cluster.weight_hook(weights, {0: 9, 1: 4, 2: 9})
+    assert keep(0, 1, 0.5) == 1 and weights[1] == 2.0
+    assert keep(1, 2, 0.7) == 2 and weights[2] == 7.0
+    assert cluster.order_hook({0: 1, 1: 1, 2: 5, 3: 5})([(0, 1), (0, 2), (1, 3)]) == (0, 2)

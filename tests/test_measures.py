@@ -132,3 +132,35 @@ def test_settings_survive_json():
     assert S.from_json(s.to_json()) == s
     with pytest.raises(ValueError):
         S(inner="cosine")
+
+
+def test_batches_are_the_pairs_one_by_one():
+    rng = np.random.default_rng(3)
+    some = [rng.normal(size=int(n)).round(1) for n in rng.integers(0, 9, 25)]
+    pairs = [(a, b) for a in some for b in some]
+    first, second = zip(*pairs, strict=True)
+    assert np.allclose(measures.split_merge_all(first, second, 0.1), [measures.move_split_merge(a, b, 0.1) for a, b in pairs])
+    knots = np.array([4, 1.5, 0.6, 0.1, 0.2, 0.5, 2, 5.0])
+    whole = [(a, b) for a, b in pairs if len(a) and len(b)]
+    held = [[np.concatenate([x[:, None], np.tile(knots, (len(x), 1))], 1) for x in side] for side in zip(*whole, strict=True)]
+    for window in (None, 3):
+        both = [min(measures.weighted_distance(x, y, np.tile(knots, (len(x), 1)), window) for x, y in ((a, b), (b, a))) for a, b in whole]
+        assert np.allclose(measures.weighted_all(*held, window), both)
+
+
+@pytest.mark.parametrize("options", [{}, {"window": 4}, {"psi": (1, 2, 3, 1)}, {"penalty": 0.3}, {"inner": "euclidean"}, {"window": 6, "window_type": "slanted"}, {"max_length_diff": 3}])
+def test_limits_give_up_only_what_is_beyond(options):
+    rng = np.random.default_rng(4)
+    some = [rng.normal(size=int(n)) for n in rng.integers(5, 25, 30)]
+    p, q = (x.ravel() for x in np.meshgrid(np.arange(30), np.arange(30), indexing="ij"))
+    full = dtw.distances_among(some, p, q, S(**options))
+    assert np.array_equal(full, dtw.distances([some[k] for k in p], [some[k] for k in q], S(**options)))
+    limit = float(np.quantile(full[np.isfinite(full)], 0.1))
+    assert np.array_equal(dtw.distances_among(some, p, q, S(**options, max_dist=limit)), np.where(full <= limit, full, np.inf))
+
+
+def test_envelopes_of_a_batch():
+    rng = np.random.default_rng(5)
+    some = [rng.normal(size=int(n)) for n in rng.integers(1, 20, 30)]
+    for s in (S(window=3), S(), S(window=2, inner="euclidean")):
+        assert np.allclose(dtw.envelope_bounds(some[0], some, s), [dtw.envelope_bound(some[0], x, s) for x in some])
