@@ -12,29 +12,25 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _days(spark: SparkSession, sf_dir: str) -> tuple[Column, int]:
-    """The number of each event's day, from 0, and how many days the events span."""
-    first, last = read(spark, sf_dir, "events").agg(F.to_date(F.min("ts")), F.to_date(F.max("ts"))).first()
-    return F.datediff(F.col("ts"), F.lit(first)), (last - first).days + 1 if first else 0
-
-
-def event_types(spark: SparkSession, sf_dir: str) -> list[str]:
-    """All event types in order: a handful, whatever the number of events."""
-    return [r[0] for r in read(spark, sf_dir, "events").where("event_type is not null").select("event_type").distinct().orderBy("event_type").collect()]
+def _extent(spark: SparkSession, sf_dir: str) -> tuple[Column, int, list[str]]:
+    """The number of each event's day, from 0; how many days the events span; and all their types: a handful."""
+    row = read(spark, sf_dir, "events").agg(F.to_date(F.min("ts")), F.to_date(F.max("ts")), F.array_sort(F.collect_set("event_type"))).first()
+    first, last, types = row
+    return F.datediff(F.col("ts"), F.lit(first)), (last - first).days + 1 if first else 0, types
 
 
 def slot_count(spark: SparkSession, sf_dir: str) -> int:
-    return 24 * len(event_types(spark, sf_dir))
+    return 24 * len(_extent(spark, sf_dir)[2])
 
 
-def _typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _typed(spark: SparkSession, sf_dir: str, types: list[str]) -> DataFrame:
     """Events with the number of their type; those without a type belong to no series."""
-    types = F.array(*map(F.lit, event_types(spark, sf_dir))).cast("array<string>")
-    return read(spark, sf_dir, "events").where("event_type is not null").withColumn("type", F.array_position(types, F.col("event_type")) - 1)
+    known = F.array(*map(F.lit, types)).cast("array<string>")
+    return read(spark, sf_dir, "events").where("event_type is not null").withColumn("type", F.array_position(known, F.col("event_type")) - 1)
 
 
-def _slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _typed(spark, sf_dir).withColumn("slot", F.col("type") * 24 + F.hour("ts"))
+def _slot() -> Column:
+    return F.col("type") * 24 + F.hour("ts")
 
 
 def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,26 +40,27 @@ def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every user's daily sums."""
-    day, days = _days(spark, sf_dir)
+    day, days, _ = _extent(spark, sf_dir)
     return series.from_calendar(read(spark, sf_dir, "events"), "user_id", day, days, F.sum("value"))
 
 
 def slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily sums of each event type in each hour of the day: 24 series a type."""
-    day, days = _days(spark, sf_dir)
-    return series.from_calendar(_slots(spark, sf_dir), "slot", day, days, F.sum("value"))
+    day, days, types = _extent(spark, sf_dir)
+    return series.from_calendar(_typed(spark, sf_dir, types).withColumn("slot", _slot()), "slot", day, days, F.sum("value"))
 
 
 def ragged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As slots, but only the days that have events: series of unequal length."""
-    cells = _slots(spark, sf_dir).groupBy("slot", F.to_date("ts").alias("day")).agg(F.avg("value").alias("v"))
+    rows = _typed(spark, sf_dir, _extent(spark, sf_dir)[2]).withColumn("slot", _slot())
+    cells = rows.groupBy("slot", F.to_date("ts").alias("day")).agg(F.avg("value").alias("v"))
     return series.from_long(cells, "slot", ("day",), "v")
 
 
 def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly sums of each event type: one long series a type."""
-    day, days = _days(spark, sf_dir)
-    return series.from_calendar(_typed(spark, sf_dir), "type", day * 24 + F.hour("ts"), days * 24, F.sum("value"))
+    day, days, types = _extent(spark, sf_dir)
+    return series.from_calendar(_typed(spark, sf_dir, types), "type", day * 24 + F.hour("ts"), days * 24, F.sum("value"))
 
 
 def suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
