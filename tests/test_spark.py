@@ -183,3 +183,21 @@ def test_expressions_meet_every_pair_once_in_blocks(spark, monkeypatch):
     s = spark.createDataFrame([(k, [float(k)]) for k in range(23)], "series_id long, values array<double>")
     got = pairwise.column_pairs(s, lambda a, b: F.get(b, F.lit(0)) - F.get(a, F.lit(0))).collect()
     assert sorted((r.i, r.j, r.distance) for r in got) == [(i, j, float(j - i)) for i in range(23) for j in range(i + 1, 23)]
+
+
+def test_euclidean_pairs_by_tiles_equal_the_fold(spark, monkeypatch):
+    r = np.random.default_rng(8)
+    rows = [r.normal(size=n).tolist() for n in r.integers(3, 9, 40)]
+    rows += rows[:7] * 3 + [[1.0, None, 2.0]]
+    s = spark.createDataFrame([*enumerate(rows), (None, [1.0, 2.0])], "series_id long, values array<double>")
+    want = as_dict(pairwise.column_pairs(s, columns.euclidean))
+    assert len(want) == 62 * 61 // 2 and sum(d is None for d in want.values()) == 61
+    for block, copies in ((4, 1), (4, 128), (128, 128)):
+        monkeypatch.setattr(pairwise, "BLOCK", block)
+        monkeypatch.setattr(pairwise, "COPIES", copies)
+        assert as_dict(pairwise.euclidean_distances(s)) == want
+
+
+def test_blocks_grow_with_the_series_and_no_pairs_are_joined(spark, six):
+    assert [pairwise.block_count(n) for n in (0, 1, 128, 129, 3072, 24_576, 90_000)] == [1, 1, 1, 2, 24, 24, 88]
+    assert "Join" not in pairwise.euclidean_distances(six)._jdf.queryExecution().toString()
