@@ -201,3 +201,19 @@ def test_euclidean_pairs_by_tiles_equal_the_fold(spark, monkeypatch):
 def test_blocks_grow_with_the_series_and_no_pairs_are_joined(spark, six):
     assert [pairwise.block_count(n) for n in (0, 1, 128, 129, 3072, 24_576, 90_000)] == [1, 1, 1, 2, 24, 24, 88]
     assert "Join" not in pairwise.euclidean_distances(six)._jdf.queryExecution().toString()
+
+
+def test_warped_pairs_by_tiles_equal_the_sweep(spark, monkeypatch):
+    r = np.random.default_rng(9)
+    rows = [r.normal(size=n).cumsum().tolist() for n in r.integers(2, 40, 30)]
+    rows += rows[:5] * 2
+    s = spark.createDataFrame([*enumerate(rows), (None, [1.0, 2.0])], "series_id long, values array<double>")
+    monkeypatch.setattr(pairwise, "BLOCK", 8)
+    monkeypatch.setattr(dtw, "TILE_CELLS", 64)
+    p, q = np.triu_indices(len(rows), 1)
+    for settings in (S(), S(penalty=0.3), S(inner="euclidean"), S(window=3)):
+        want = dtw.distances_among([np.array(v) for v in rows], p, q, settings)
+        assert as_dict(pairwise.distances(s, settings)) == dict(zip(zip(p.tolist(), q.tolist()), want.tolist(), strict=True))
+    assert dtw.across_holds([np.array(rows[0])], S(penalty=0.3)) and not dtw.across_holds([np.array(rows[0])], S(window=3))
+    tiled = dtw.distances_across([np.array(v) for v in rows], [np.array(v) for v in rows], S())
+    assert (tiled[p, q] == dtw.distances_among([np.array(v) for v in rows], p, q, S())).all() and (tiled == tiled.T).all()
