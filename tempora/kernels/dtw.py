@@ -464,26 +464,43 @@ def affinity_table(a: np.ndarray, b: np.ndarray, gamma: float, tau: float, delta
     steps: typeI (diagonal, up, left), typeIII (diagonal, two rows, two columns) or diagonal.
     """
     a, b = np.asarray(a, float), np.asarray(b, float)
-    n, m = len(a), len(b)
+    return affinity_stack(a[:, None], b[:, None], gamma, tau, delta, delta_factor, penalty, window, only_triu, steps)[0]
+
+
+def affinity_stack(a: np.ndarray, b: np.ndarray, gamma, tau, delta, delta_factor, penalty=0.0, window: int | None = None, only_triu: bool = False, steps: str = "typeI") -> np.ndarray:
+    """affinity_table() of each pair of two stacks (time x pairs [x dimension]): pairs x rows x columns; parameters may differ by pair.
+
+    The table is made by its diagonals, all pairs together.
+    """
+    n, m, pairs = len(a), len(b), a.shape[1]
     pad = 2 if steps == "typeIII" else 1
-    out = np.full((n + pad, m + pad), 0.0)
-    for i in range(n):
-        diff = b - a[i]
-        sim = np.exp(-gamma * (diff * diff if diff.ndim == 1 else (diff * diff).sum(1)))
-        lo, hi = band(i, np.array([n]), np.array([m]), DistanceSettings(window=window))
-        lo, hi = max(int(lo[0]), i if only_triu else 0), int(hi[0])
-        row, up = out[i + pad], out[i + pad - 1]
-        row[pad : pad + lo] = row[pad + hi :] = -INF
-        for j in range(lo, hi):
-            k = j + pad
-            best = up[k - 1]
-            if steps == "typeI":
-                best = max(best, up[k] - penalty, row[k - 1] - penalty)
-            elif steps == "typeIII":
-                best = max(best, up[k - 2] - penalty, out[i + pad - 2][k - 1] - penalty)
-            best = max(best, 0.0)
-            row[k] = max(0.0, delta + delta_factor * best) if sim[j] < tau else max(0.0, sim[j] + best)
-    return out
+    # cell (row, column) is held at (row + column, row), so that the table is a view of the diagonals
+    held = np.zeros((n + m + 2 * pad - 1, n + pad, pairs))
+    other = b[::-1]
+    over, under = max(0, n - m), max(0, m - n)
+    for d in range(2 * pad, len(held)):
+        lo, hi = max(pad, d - m - pad + 1), min(n + pad - 1, d - pad)
+        first, last = lo, min(hi, d // 2) if only_triu else hi
+        if window:
+            first = max(first, (d - 2 * pad - under - window) // 2 + 1 + pad)
+            last = min(last, (d - 2 * pad + over + window - 1) // 2 + pad)
+        now = held[d]
+        now[lo : max(lo, first)] = now[max(lo, last + 1) : hi + 1] = -INF
+        if first > last:
+            now[lo : hi + 1] = -INF
+            continue
+        at = m - 1 - d + first + pad
+        diff = other[at : at + last - first + 1] - a[first - pad : last + 1 - pad]
+        sim = np.exp(-gamma * (diff * diff if diff.ndim == 2 else (diff * diff).sum(2)))
+        best = np.maximum(held[d - 2][first - 1 : last], 0.0)
+        if steps == "typeI":
+            np.maximum(best, np.maximum(held[d - 1][first - 1 : last], held[d - 1][first : last + 1]) - penalty, out=best)
+        elif steps == "typeIII":
+            np.maximum(best, np.maximum(held[d - 3][first - 1 : last], held[d - 3][first - 2 : last - 1]) - penalty, out=best)
+        np.fmax(np.where(sim < tau, delta + delta_factor * best, sim + best), 0.0, out=now[first : last + 1])
+    by_diagonal, by_row, by_pair = held.strides
+    table = np.lib.stride_tricks.as_strided(held, (n + pad, m + pad, pairs), (by_diagonal + by_row, by_diagonal, by_pair), writeable=False)
+    return np.ascontiguousarray(table.transpose(2, 0, 1))
 
 
 def step_moves(steps: str) -> tuple[tuple[int, int], ...]:

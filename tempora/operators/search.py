@@ -19,6 +19,8 @@ from tempora.settings import ConcurrenceSettings, DistanceSettings
 MAX_QUERIES = 10_000
 #: Candidates that a task compares before its bound is tightened again.
 STRIDE = 256
+#: Points of paths that a task holds before it hands them on.
+POINTS = 500_000
 
 
 def nearest(queries: Sequence[tuple[int, Sequence]], candidates: DataFrame, k: int, settings: DistanceSettings = DistanceSettings(), use_bound: bool = True, max_value: float | None = None) -> DataFrame:
@@ -109,12 +111,44 @@ def matches(query_id: int, query: Sequence, series: DataFrame, penalty: float =
 def concurrences(series: DataFrame, settings: ConcurrenceSettings | None = None, k: int | None = 10, min_length: int = 5, buffer: int = 0, factor: float = 1.0, knee_alpha: float | None = None) -> DataFrame:
     """(series_id, rank, begin_i, end_i, begin_j, end_j, path): recurring patterns within each series; parameters from the series if none are given."""
 
+    schema = "series_id long, rank int, begin_i int, end_i int, begin_j int, end_j int, path array<struct<i: int, j: int>>"
+    chosen = lambda v: settings or subsequence.concurrence_settings(v, factor, only_triu=True)
+
     def work(i: int, v: np.ndarray):
-        s = settings or subsequence.concurrence_settings(v, factor, only_triu=True)
-        found = subsequence.Concurrences(v, None, s).matches(k, min_length, buffer, knee_alpha)
+        found = subsequence.Concurrences(v, None, chosen(v)).matches(k, min_length, buffer, knee_alpha)
         return [(i, n, p[0][0], p[-1][0], p[0][1], p[-1][1], [{"i": a, "j": b} for a, b in p]) for n, p in enumerate(found)]
 
-    return _each(series, work, "series_id long, rank int, begin_i int, end_i int, begin_j int, end_j int, path array<struct<i: int, j: int>>")
+    if buffer:
+        return _each(series, work, schema)
+
+    def rows(found: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
+        paths = [p for _, _, p in found]
+        points = np.concatenate(paths).astype(np.int32)
+        ends = np.cumsum([0, *map(len, paths)])
+        begins, lasts = points[ends[:-1]], points[ends[1:] - 1]
+        ids, ranks = np.array([n for n, _, _ in found], np.int64), np.array([n for _, n, _ in found], np.int32)
+        heads = [ids, ranks, begins[:, 0], lasts[:, 0], begins[:, 1], lasts[:, 1]]
+        trail = pa.StructArray.from_arrays([pa.array(points[:, 0]), pa.array(points[:, 1])], fields=list(arrow[-1].type.value_type))
+        held = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), trail, type=arrow[-1].type)
+        return pa.RecordBatch.from_arrays([*map(pa.array, heads), held], [t.name for t in arrow])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, values = batch.column(0).to_pylist(), _values(pa.chunked_array([batch.column(1)]))
+            found, points = [], 0
+            for at, paths in subsequence.concurrences_among(values, [chosen(v) for v in values], k, min_length, knee_alpha):
+                found += [(ids[at], n, p) for n, p in enumerate(paths)]
+                points += sum(map(len, paths))
+                if points > POINTS:
+                    yield rows(found)
+                    found, points = [], 0
+            if found:
+                yield rows(found)
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    arrow = list(to_arrow_schema(series.sparkSession.createDataFrame([], schema).schema))
+    return series.select("series_id", "values").mapInArrow(run, schema)
 
 
 def similarity_cells(series: DataFrame, settings: ConcurrenceSettings) -> DataFrame:

@@ -164,3 +164,45 @@ def test_hooks_choose_by_weight():
     assert keep(0, 1, 0.5) == 1 and weights[1] == 2.0
     assert keep(1, 2, 0.7) == 2 and weights[2] == 7.0
     assert cluster.order_hook({0: 1, 1: 1, 2: 5, 3: 5})([(0, 1), (0, 2), (1, 3)]) == (0, 2)
+
+
+def by_cell(a, b, s):
+    """Accumulated affinities, a cell at a time."""
+    pad = 2 if s.steps == "typeIII" else 1
+    out = np.zeros((len(a) + pad, len(b) + pad))
+    for i in range(len(a)):
+        for j in range(len(b)):
+            r, c = i + pad, j + pad
+            if (s.only_triu and j < i) or (s.window and not i - max(0, len(a) - len(b)) - s.window < j < i + max(0, len(b) - len(a)) + s.window):
+                out[r, c] = -np.inf
+                continue
+            alike = np.exp(-s.gamma * (a[i] - b[j]) ** 2)
+            sides = {"typeI": [out[r - 1, c], out[r, c - 1]], "typeIII": [out[r - 1, c - 2], out[r - 2, c - 1]], "diagonal": []}[s.steps]
+            best = max(0.0, out[r - 1, c - 1], *(x - s.penalty for x in sides))
+            out[r, c] = max(0.0, s.delta + s.delta_factor * best if alike < s.tau else alike + best)
+    return out
+
+
+@pytest.mark.parametrize("steps", ["typeI", "typeIII", "diagonal"])
+def test_concurrences_of_a_batch_are_those_of_each_series(steps, monkeypatch):
+    r = np.random.default_rng(4)
+    values = [np.round(r.normal(size=n), 1) for n in r.integers(1, 25, 20).tolist() * 2]
+    for window in (None, 3):
+        s = ConcurrenceSettings(gamma=1.0, tau=0.4, delta=-0.8, delta_factor=0.9, penalty=0.04, window=window, only_triu=True, steps=steps)
+        for v in values:
+            assert np.allclose(subsequence.Concurrences(v, None, s).table, by_cell(v, v, s), rtol=1e-12)
+        assert np.allclose(subsequence.Concurrences(values[0], values[1], s).table, by_cell(values[0], values[1], s), rtol=1e-12)
+        monkeypatch.setattr(subsequence, "BATCH_CELLS", 1500)
+        for options in ((None, 1, None), (3, 5, None), (None, 2, 0.3)):
+            k, least, knee = options
+            found = dict(subsequence.concurrences_among(values, [s] * len(values), *options))
+            assert found.keys() == set(range(len(values)))
+            assert all([[*map(tuple, p.tolist())] for p in found[n]] == list(subsequence.Concurrences(v, None, s).matches(k, least, 0, knee)) for n, v in enumerate(values))
+
+
+def test_a_cell_is_traced_once(monkeypatch):
+    c = subsequence.Concurrences(np.sin(np.arange(80.0) / 3), None, subsequence.ConcurrenceSettings(gamma=1.0, tau=0.4, delta=-0.8, delta_factor=0.9, penalty=0.04))
+    steps, trace = [], c.trace
+    monkeypatch.setattr(c, "trace", lambda *a: steps.append(trace(*a)) or steps[-1])
+    cells, found = int(c.open.sum()), list(c.matches())
+    assert found and sum(map(len, steps)) <= 2 * cells

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tempora.functions import columns, sql
-from tempora.kernels import dtw
+from tempora.kernels import dtw, subsequence
 from tempora.operators import average, cluster, pairwise, search, symbolize
 from tempora.settings import DistanceSettings as S
 from tempora.sources import series
@@ -217,3 +217,15 @@ def test_warped_pairs_by_tiles_equal_the_sweep(spark, monkeypatch):
     assert dtw.across_holds([np.array(rows[0])], S(penalty=0.3)) and not dtw.across_holds([np.array(rows[0])], S(window=3))
     tiled = dtw.distances_across([np.array(v) for v in rows], [np.array(v) for v in rows], S())
     assert (tiled[p, q] == dtw.distances_among([np.array(v) for v in rows], p, q, S())).all() and (tiled == tiled.T).all()
+
+
+def test_concurrences_in_batches(spark, walks, monkeypatch):
+    monkeypatch.setattr(search, "POINTS", 20)
+    fields = ["series_id", "rank", "begin_i", "end_i", "begin_j", "end_j"]
+    want = []
+    for i, v in walks.collect():
+        s = subsequence.concurrence_settings(v, 0.5, only_triu=True)
+        want += [(i, n, p[0][0], p[-1][0], p[0][1], p[-1][1], [*p]) for n, p in enumerate(subsequence.Concurrences(v, None, s).matches(3, 2))]
+    found = search.concurrences(walks, k=3, min_length=2, factor=0.5).collect()
+    assert sorted((*(r[f] for f in fields), [tuple(x) for x in r["path"]]) for r in found) == sorted(want)
+    assert search.concurrences(walks, k=3, min_length=99).count() == 0 < search.concurrences(walks, k=3, min_length=2, buffer=1).count()
